@@ -1,0 +1,141 @@
+"""TF-IDF and top-k similarity against a plain-Python brute force."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from ticketlens.operators import knn, tfidf
+
+TOKEN = re.compile(r"(?u)\b\w\w+\b")
+
+
+def py_terms(text):
+    t = TOKEN.findall(text.lower())
+    return t + [f"{a} {b}" for a, b in zip(t, t[1:])]
+
+
+def py_fit(corpus):
+    n = len(corpus)
+    df = Counter()
+    for text in corpus.values():
+        df.update(set(py_terms(text)))
+    vocab = {t: math.log((1 + n) / (1 + d)) + 1 for t, d in df.items() if 2 <= d <= 0.9 * n}
+    return vocab
+
+
+def py_vec(text, vocab):
+    tf = Counter(t for t in py_terms(text) if t in vocab)
+    w = {t: (1 + math.log(c)) * vocab[t] for t, c in tf.items()}
+    norm = math.sqrt(sum(v * v for v in w.values()))
+    return {t: v / norm for t, v in w.items()} if norm else {}
+
+
+def py_topk(queries, corpus, vocab, k):
+    cv = {i: py_vec(t, vocab) for i, t in corpus.items()}
+    out = {}
+    for q, text in queries.items():
+        qv = py_vec(text, vocab)
+        scores = [(round(sum(w * cv[i].get(t, 0.0) for t, w in qv.items()), 10), i) for i in corpus]
+        scores.sort(key=lambda x: (-x[0], -x[1]))
+        out[q] = [(i, s) for s, i in scores[:k]]
+    return out
+
+
+WORDS = ["alpha", "beta", "gamma", "delta", "login", "error", "refund", "billing", "crash", "dark",
+         "mode", "invoice", "password", "reset", "app", "update", "a", "x"]
+
+
+def make_corpus(seed, n):
+    rnd = random.Random(seed)
+    docs = {}
+    for i in range(n):
+        docs[i] = " ".join(rnd.choice(WORDS) for _ in range(rnd.randint(1, 12)))
+    docs[n] = docs[0]              # exact copy: ties at score 1.0
+    docs[n + 1] = "a x"            # no token of 2+ characters in the vocabulary
+    return docs
+
+
+def _frames(spark, corpus, queries):
+    c = spark.createDataFrame(list(corpus.items()), "id long, text string")
+    q = spark.createDataFrame(list(queries.items()), "id long, text string")
+    return c, q
+
+
+def test_vocabulary_and_weights_match_python(spark):
+    corpus = make_corpus(1, 40)
+    c, _ = _frames(spark, corpus, {})
+    model = tfidf.fit(c, "id", "text")
+    vocab = py_fit(corpus)
+    got = {r.term: r.idf for r in model.vocabulary.collect()}
+    assert set(got) == set(vocab)
+    for t in vocab:
+        assert got[t] == pytest.approx(vocab[t], rel=1e-12)
+    w = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
+    norms = w.groupBy("id").agg(F.sum(F.col("weight") ** 2).alias("s")).collect()
+    assert all(abs(r.s - 1.0) < 1e-12 for r in norms)
+    for r in w.where(F.col("id") < 5).collect():
+        assert r.weight == pytest.approx(py_vec(corpus[r.id], vocab)[r.term], rel=1e-12)
+
+
+def test_df_bounds_inclusive(spark):
+    # 10 docs: 'common' in 9 (= 0.9 n, kept), 'solo' in 1 (dropped), 'pair' in 2 (kept)
+    docs = {i: "common" for i in range(9)}
+    docs[9] = "solo"
+    docs[0] += " pair"
+    docs[1] += " pair"
+    c, _ = _frames(spark, docs, {})
+    terms = {r.term for r in tfidf.fit(c, "id", "text").vocabulary.collect()}
+    assert "common" in terms and "pair" in terms and "solo" not in terms
+
+
+@pytest.mark.parametrize("batch", [1000, 3])
+def test_topk_equals_brute_force(spark, batch):
+    corpus = make_corpus(2, 60)
+    queries = {100 + i: corpus[i] for i in range(6)}
+    queries[200] = "zzz unknownword"           # no known term: k highest ids, score 0
+    queries[201] = "login error refund"
+    c, q = _frames(spark, corpus, queries)
+    model = tfidf.fit(c, "id", "text")
+    cw = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
+    qw = tfidf.transform(q, "id", "text", model)
+    vec = knn.document_vectors(c.select("id"), cw)
+    got = knn.similar_topk(q.select("id"), qw, vec, 4, max_batch_queries=batch).collect()
+    want = py_topk(queries, corpus, py_fit(corpus), 4)
+    by_q = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by_q.setdefault(r.query_id, []).append((r.id, round(r.score, 10)))
+    assert set(by_q) == set(want)
+    for qid, rows in want.items():
+        assert [i for i, _ in by_q[qid]] == [i for i, _ in rows], qid
+        for (_, s1), (_, s2) in zip(by_q[qid], rows):
+            assert s1 == pytest.approx(s2, abs=1e-9)
+    top = {r.query_id: r for r in got if r.rank == 1}
+    assert top[100].score == pytest.approx(1.0) and top[100].id == 60    # copy wins the tie (higher id)
+    assert [i for i, _ in by_q[200]] == [61, 60, 59, 58]
+    assert all(s == 0.0 for _, s in by_q[200])
+
+
+def test_corpus_smaller_than_k(spark):
+    corpus = {1: "login error", 2: "login reset", 3: "billing error"}
+    c, q = _frames(spark, corpus, {9: "login error"})
+    model = tfidf.fit(c, "id", "text")
+    cw = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
+    vec = knn.document_vectors(c.select("id"), cw)
+    got = knn.similar_topk(q.select("id"), tfidf.transform(q, "id", "text", model), vec, 10).collect()
+    assert len(got) == 3
+
+
+def test_cosine_scores_symmetric_and_self_one(spark):
+    corpus = make_corpus(3, 30)
+    c, _ = _frames(spark, corpus, {})
+    model = tfidf.fit(c, "id", "text")
+    cw = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
+    s = {(r.query_id, r.id): r.score for r in tfidf.cosine_scores(cw, cw).collect()}
+    for (a, b), v in s.items():
+        assert v == pytest.approx(s[(b, a)], abs=1e-12)
+        if a == b:
+            assert v == pytest.approx(1.0, abs=1e-12)

@@ -30,14 +30,16 @@ def current_log(spark, sf):
 
 
 def corpus_text(spark, sf):
-    t = T.tickets(spark, sf)
+    """Training text of every ticket, hash-partitioned by ticket id right
+    after the scan so all per-row text work runs in parallel."""
+    t = tfidf.by_document(T.tickets(spark, sf, spread=False), "ticket_id")
     return t.select("ticket_id", "subject", "category",
                     training_text("subject", "description").alias("text"))
 
 
 def corpus_model(spark, sf):
     c = corpus_text(spark, sf)
-    postings = tfidf.term_counts(c, "ticket_id", "text")
+    postings = tfidf.index_postings(c, "ticket_id", "text", partitioned=True)
     model = tfidf.fit(c, "ticket_id", "text", postings=postings)
     return c, postings, model
 
@@ -168,7 +170,7 @@ def q_tokens(spark, sf):
 
 def q_ngrams(spark, sf):
     c = corpus_text(spark, sf)
-    return tfidf.term_counts(c, "ticket_id", "text").select(
+    return tfidf.term_counts(c, "ticket_id", "text", partitioned=True).select(
         F.col("id").alias("ticket_id"), "term", "tf")
 
 

@@ -35,7 +35,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
+def _spread(df: DataFrame) -> DataFrame:
     """Text work is CPU-bound per row. When a scan yields fewer splits than
     the cluster has cores (e.g. one large row group), spread its rows
     round-robin; at scale the scan already has enough splits and this
@@ -46,9 +46,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents LEFT JOIN labels -> canonical ticket frame."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
+def tickets(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+    """documents LEFT JOIN labels -> canonical ticket frame. Text jobs
+    that partition by id themselves pass ``spread=False``."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    if spread:
+        docs = _spread(docs)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = docs.join(labels, "doc_id", "left")
     return d.select(
@@ -137,7 +140,7 @@ def embedding_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def query_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New tickets for the similar-ticket lookup: the benchmark passages
     (whole table), with an empty subject."""
-    b = spread(table(spark, sf_dir, "benchmark"))
+    b = table(spark, sf_dir, "benchmark")
     return b.select(F.col("item_id").alias("query_id"),
                     F.lit("").alias("subject"),
                     F.col("text").alias("description"))
