@@ -362,4 +362,20 @@ def q_report(spark, sf):
         S.py_round(F.col("accuracy"), 4).alias("accuracy"), S.py_round(F.col("f1"), 4).alias("f1_macro"))
 
 
+# -- training (M1-M4, E7); rows-only checks (no SQL oracle) ----------------------------
+
+def q_train_embedding(spark, sf):
+    """M4 / E7 phase 3: three Spark ML heads on the embeddings table."""
+    from ticketlens.operators import training
+    return training.train_embedding_phase(T.embedding_rows(spark, sf), "vec_id", "embedding", TARGETS)
+
+
+def q_train_tfidf(spark, sf):
+    """M3 / E7 phases 1-2: TF-IDF + one-vs-rest LR on the ticket corpus."""
+    from ticketlens.operators import training
+    c, postings, model = corpus_model(spark, sf)
+    w = tfidf.weights(postings, model)
+    return training.train_tfidf_phase(c, w, model.vocabulary, model.n_terms, "ticket_id", "category")
+
+
 REGISTRY = {name: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
