@@ -102,8 +102,7 @@ def test_topk_equals_brute_force(spark, batch):
     model = tfidf.fit(c, "id", "text")
     cw = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
     qw = tfidf.transform(q, "id", "text", model)
-    vec = knn.document_vectors(c.select("id"), cw)
-    got = knn.similar_topk(q.select("id"), qw, vec, 4, max_batch_queries=batch).collect()
+    got = knn.similar_topk(q.select("id"), qw, c.select("id"), cw, 4, max_batch_queries=batch).collect()
     want = py_topk(queries, corpus, py_fit(corpus), 4)
     by_q = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
@@ -124,8 +123,7 @@ def test_corpus_smaller_than_k(spark):
     c, q = _frames(spark, corpus, {9: "login error"})
     model = tfidf.fit(c, "id", "text")
     cw = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
-    vec = knn.document_vectors(c.select("id"), cw)
-    got = knn.similar_topk(q.select("id"), tfidf.transform(q, "id", "text", model), vec, 10).collect()
+    got = knn.similar_topk(q.select("id"), tfidf.transform(q, "id", "text", model), c.select("id"), cw, 10).collect()
     assert len(got) == 3
 
 

@@ -206,9 +206,9 @@ def similar_for(spark, sf, queries: DataFrame, qid: str, text: str, k: int):
     corpus subject and category, score to 4 places and match percent."""
     c, postings, model = corpus_model(spark, sf)
     cw = tfidf.weights(postings, model)
-    vectors = knn.document_vectors(c.select(F.col("ticket_id").alias("id")), cw)
     qw = tfidf.transform(queries, qid, text, model)
-    top = knn.similar_topk(queries.select(F.col(qid).alias("id")), qw, vectors, k)
+    top = knn.similar_topk(queries.select(F.col(qid).alias("id")), qw,
+                           c.select(F.col("ticket_id").alias("id")), cw, k)
     attrs = c.select(F.col("ticket_id").alias("id"), "subject", "category")
     return top.join(attrs, "id", "inner").select(
         F.col("query_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("ticket_id"),
