@@ -67,3 +67,11 @@ def test_batch_summary(spark):
     df = spark.createDataFrame([(1.0, True), (2.0, False), (2.5, True)], "latency_ms double, requires_review boolean")
     r = A.batch_summary(df).collect()[0]
     assert tuple(r) == (3, round(5.5 / 3, 3), 2)
+
+
+def test_lookup_and_preview(spark):
+    from ticketlens.sources import io
+    log = _log(spark, [_row(i, 0.5, True, False, T0) for i in range(8)])
+    ids = spark.createDataFrame([(3,), (3,), (5,), (42,)], "ticket_id long")
+    assert sorted(r.id for r in R.lookup(log, ids).collect()) == [3, 5]
+    assert [r.id for r in io.preview(log, F.col("id").desc()).collect()] == [7, 6, 5, 4, 3]

@@ -2,7 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from ticketlens.functions.text import ngrams, serving_text, strip_ws, tokens, training_text
+from ticketlens.functions.text import ngrams, serving_text, strip_ws, tokens, training_text  # noqa: F401
 
 NBSP = " "
 
@@ -43,3 +43,24 @@ def test_tokens_and_ngrams(spark):
     assert out[0].ng == out[0].tok + ["foo_bar été", "été 42", "42 x9"]
     assert out[1].ng == ["single"]       # one token: unigram only
     assert out[2].ng == []
+
+
+def test_clean_reply_and_prompt(spark):
+    from ticketlens.functions.prompts import clean_reply, user_prompt
+    df = spark.createDataFrame([("  Hi there.\n", "Billing", "High", "Negative", "S", "D")],
+                               "r string, c string, p string, s string, sub string, d string")
+    r = df.select(clean_reply("r").alias("r"), user_prompt("c", "p", "s", "sub", "d").alias("u")).first()
+    assert r.r == "Hi there."
+    assert r.u.startswith("Ticket Category : Billing\nPriority        : High\n")
+    assert r.u.endswith("\n\nWrite a suggested reply for the support agent to send to this customer.")
+
+
+def test_encoder_hook(spark):
+    from ticketlens.functions.encoder import encoder_column
+
+    def load():
+        return lambda texts: [[float(len(t)), float(t.count(" "))] for t in texts]
+
+    df = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(encoder_column(F.col("t"), load, batch_size=2)).collect()]
+    assert got == [[5.0, 2.0], [0.0, 0.0], [0.0, 0.0]]

@@ -49,8 +49,16 @@ def query_text(spark, sf):
     return q.select("query_id", serving_text("subject", "description").alias("text"))
 
 
+_HEADS = {}
+
+
 def heads(spark, sf):
-    return scoring.load_heads(scoring.centroid_heads(T.embedding_rows(spark, sf), "embedding"))
+    """The three fixture heads, built once per session and table set
+    (the reference loads its models once at start-up)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _HEADS:
+        _HEADS[key] = scoring.load_heads(scoring.centroid_heads(T.embedding_rows(spark, sf), "embedding"))
+    return _HEADS[key]
 
 
 def scored_embeddings(spark, sf):
