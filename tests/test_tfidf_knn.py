@@ -137,3 +137,19 @@ def test_cosine_scores_symmetric_and_self_one(spark):
         assert v == pytest.approx(s[(b, a)], abs=1e-12)
         if a == b:
             assert v == pytest.approx(1.0, abs=1e-12)
+
+
+def test_topk_dense_path_equals_brute_force(spark):
+    # 600 documents over a small vocabulary: common columns take the BLAS path
+    corpus = make_corpus(5, 600)
+    queries = {1000 + i: corpus[i * 7] for i in range(20)}
+    c, q = _frames(spark, corpus, queries)
+    model = tfidf.fit(c, "id", "text")
+    cw = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
+    qw = tfidf.transform(q, "id", "text", model)
+    got = knn.similar_topk(q.select("id"), qw, c.select("id"), cw, 5).collect()
+    want = py_topk(queries, corpus, py_fit(corpus), 5)
+    by_q = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by_q.setdefault(r.query_id, []).append(r.id)
+    assert by_q == {qid: [i for i, _ in rows] for qid, rows in want.items()}
