@@ -44,6 +44,13 @@ def corpus_model(spark, sf):
     return c, postings, model
 
 
+def corpus_index(spark, sf):
+    """Corpus text, fitted model and the persisted unit weights
+    ``(id, term, weight)`` shared by every similarity query."""
+    c, postings, model = corpus_model(spark, sf)
+    return c, model, tfidf.index_weights(postings, model)
+
+
 def query_text(spark, sf):
     q = T.query_tickets(spark, sf)
     return q.select("query_id", serving_text("subject", "description").alias("text"))
@@ -190,8 +197,8 @@ def q_vocabulary(spark, sf):
 
 
 def q_tfidf_weights(spark, sf):
-    _, postings, model = corpus_model(spark, sf)
-    return tfidf.weights(postings, model).select(
+    _, _, cw = corpus_index(spark, sf)
+    return cw.select(
         F.col("id").alias("ticket_id"), "term", _r("weight"))
 
 
@@ -202,8 +209,7 @@ def q_similar_new(spark, sf):
 
 
 def q_similar_scores(spark, sf):
-    _, postings, model = corpus_model(spark, sf)
-    cw = tfidf.weights(postings, model)
+    _, model, cw = corpus_index(spark, sf)
     qw = tfidf.transform(query_text(spark, sf), "query_id", "text", model)
     s = tfidf.cosine_scores(qw, cw)
     return s.select("query_id", F.col("id").alias("ticket_id"), _r("score", 8))
@@ -212,8 +218,7 @@ def q_similar_scores(spark, sf):
 def similar_for(spark, sf, queries: DataFrame, qid: str, text: str, k: int):
     """Top-k corpus tickets for a table of query texts, with the
     corpus subject and category, score to 4 places and match percent."""
-    c, postings, model = corpus_model(spark, sf)
-    cw = tfidf.weights(postings, model)
+    c, model, cw = corpus_index(spark, sf)
     qw = tfidf.transform(queries, qid, text, model)
     top = knn.similar_topk(queries.select(F.col(qid).alias("id")), qw,
                            c.select(F.col("ticket_id").alias("id")), cw, k)
@@ -381,8 +386,7 @@ def q_train_embedding(spark, sf):
 def q_train_tfidf(spark, sf):
     """M3 / E7 phases 1-2: TF-IDF + one-vs-rest LR on the ticket corpus."""
     from ticketlens.operators import training
-    c, postings, model = corpus_model(spark, sf)
-    w = tfidf.weights(postings, model)
+    c, model, w = corpus_index(spark, sf)
     return training.train_tfidf_phase(c, w, model.vocabulary, model.n_terms, "ticket_id", "category")
 
 
