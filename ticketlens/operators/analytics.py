@@ -16,7 +16,8 @@ DIMENSIONS = ("category", "sentiment", "priority", "day")
 
 
 def kpis(log: DataFrame) -> DataFrame:
-    """A1, A5-A7 (+P13): one row, zeros on an empty log."""
+    """A1, A5 (flagged, F2), A6 (mean latency), A7 (+P13): one row, zeros
+    on an empty log."""
     return log.agg(
         F.count("id").alias("total_tickets"),
         S.py_round(F.coalesce(F.avg("confidence"), F.lit(0.0)), S.CONFIDENCE_PLACES).alias("avg_confidence"),
@@ -26,7 +27,8 @@ def kpis(log: DataFrame) -> DataFrame:
 
 
 def distribution(log: DataFrame, column: str, label: str = "label") -> DataFrame:
-    """A2-A4: (label, n) for one predicted column."""
+    """A2 (category), A3 (sentiment), A4 (priority): (label, n) for one
+    predicted column."""
     return log.groupBy(F.col(column).alias(label)).agg(F.count("id").alias("n"))
 
 

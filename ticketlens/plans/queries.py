@@ -93,6 +93,7 @@ def q_category_dist(spark, sf):
 
 
 def q_sentiment_dist(spark, sf):
+    """A3."""
     return A.distribution(current_log(spark, sf), "pred_sentiment", "pred_sentiment")
 
 
@@ -144,6 +145,7 @@ def q_review_flag(spark, sf):
 # -- review (T1, U1, U2) -------------------------------------------------------
 
 def q_review_queue(spark, sf):
+    """E5 / T1."""
     return review.review_queue_export(current_log(spark, sf))
 
 
@@ -231,6 +233,7 @@ def similar_for(spark, sf, queries: DataFrame, qid: str, text: str, k: int):
 
 
 def q_similar_topk(spark, sf):
+    """Similar lookup for a table of queries (k checked in 1..10)."""
     io.check_top_k(SIMILAR_K)
     return similar_for(spark, sf, query_text(spark, sf), "query_id", "text", SIMILAR_K)
 
@@ -311,6 +314,7 @@ def q_label_counts(spark, sf):
 
 
 def q_metadata(spark, sf):
+    """Label lists of the three targets."""
     lists = _label_long(spark, sf).where(F.col("label").isNotNull()).groupBy("target").agg(
         F.sort_array(F.collect_set("label")).alias("labels"))
     return lists.select("target", F.posexplode("labels").alias("label_index", "label")) \

@@ -47,7 +47,8 @@ def _spread(df: DataFrame) -> DataFrame:
 
 
 def tickets(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
-    """documents LEFT JOIN labels -> canonical ticket frame. Text jobs
+    """documents LEFT JOIN labels -> canonical ticket frame (P17: projection
+    and rename). Text jobs
     that partition by id themselves pass ``spread=False``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     if spread:
