@@ -370,10 +370,8 @@ def q_eval_pairs(spark, sf):
 def q_report(spark, sf):
     s = _test_split_scored(spark, sf)
     pairs = metrics.long_pairs(s, TARGETS)
-    acc = metrics.accuracy(pairs)
-    f1 = metrics.macro_prf(pairs).select("target", "f1")
     n_rows = T.table(spark, sf, "embeddings").count()
-    return acc.join(f1, "target").select(
+    return metrics.accuracy_f1(pairs).select(
         F.lit("phase3").alias("phase"), "target", F.lit("embeddings").alias("dataset"),
         F.lit(n_rows).cast("long").alias("rows"), F.lit("centroid linear head").alias("model"),
         S.py_round(F.col("accuracy"), 4).alias("accuracy"), S.py_round(F.col("f1"), 4).alias("f1_macro"))
