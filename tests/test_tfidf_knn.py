@@ -153,3 +153,29 @@ def test_topk_dense_path_equals_brute_force(spark):
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by_q.setdefault(r.query_id, []).append(r.id)
     assert by_q == {qid: [i for i, _ in rows] for qid, rows in want.items()}
+
+
+@pytest.mark.parametrize("path", ["cut", "shuffle"])
+def test_transform_large_vocabulary_paths(spark, monkeypatch, path):
+    """Vocabulary over the broadcast bound: the query side cuts it down by
+    a broadcast semi join ("cut": the model reports a huge vocabulary), or,
+    with the query terms over the bound too, falls back to the shuffle
+    join ("shuffle": bound 0). Both equal the plain-Python vectoriser."""
+    corpus = make_corpus(3, 40)
+    queries = {100 + i: t for i, t in enumerate(list(corpus.values())[:6])}
+    queries[200] = "zzzz unseen words only"
+    c, q = _frames(spark, corpus, queries)
+    model = tfidf.fit(c, "id", "text")
+    vocab = py_fit(corpus)
+    if path == "cut":
+        model.n_terms = tfidf.MAX_BROADCAST_TERMS + 1
+    else:
+        monkeypatch.setattr(tfidf, "MAX_BROADCAST_TERMS", 0)
+    out = tfidf.transform(q, "id", "text", model)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("LeftSemi" in plan) == (path == "cut")
+    got = {(r.id, r.term): r.weight for r in out.collect()}
+    want = {(i, t): w for i, text in queries.items() for t, w in py_vec(text, vocab).items()}
+    assert set(got) == set(want)
+    for key, w in want.items():
+        assert got[key] == pytest.approx(w, rel=1e-12)
