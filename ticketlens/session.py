@@ -44,14 +44,21 @@ def get_session(master: str | None = None, app: str = "ticketlens",
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder, setting a scratch one only
-    when the session has none (local runs and tests)."""
+    """The session's checkpoint folder. It is set once: from
+    ``spark.checkpoint.dir`` where the cluster names one; a local session
+    without one (tests, bench) gets a scratch folder; a cluster without one
+    is an error, as executors do not share the driver's local folders."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="ticketlens-ckpt-", dir="/tmp")
-    sc.setCheckpointDir(current)
-    return sc.getCheckpointDir() or current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="ticketlens-ckpt-", dir="/tmp")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
