@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketlens.llm import quality_rules, url_filter
+from ticketlens.llm import fingerprint, language_id, mixing, quality_classifier, quality_rules, secret_scan, url_filter
 from ticketlens.llm.common import table
 
 
@@ -17,4 +17,25 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents")).drop("word_js", "class_js")
 
 
-REGISTRY = {f.__name__: f for f in (op2_url_filter, op4_quality_rules)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_words")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
+REGISTRY = {f.__name__: f for f in (
+    op2_url_filter, op4_quality_rules, op5_language_id, op6_quality_classifier, op8_mixing, op9_secret_scan, op10_fingerprint)}
