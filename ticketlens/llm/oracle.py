@@ -4,6 +4,7 @@ express the operator. The SQL follows the contracts, not the Spark code."""
 from __future__ import annotations
 
 from ticketlens.llm import quality_rules as Q
+from ticketlens.llm import substring_dedup as SD
 from ticketlens.llm import url_filter as U
 
 SP = r"[\x20\x09-\x0D]"
@@ -45,6 +46,18 @@ SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN bad.host IS
 FROM ruled LEFT JOIN bad ON ruled.host = bad.host"""
 
 
+def op3() -> str:
+    n = SD.WINDOW
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+    list_filter(string_split_regex(coalesce(text, ''), '{SP}+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT rid, i, array_to_string(w[i:i + {n - 1}], ' ') AS x FROM (SELECT rid, w, unnest(range(1, len(w) - {n - 2})) AS i FROM d)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY md5_number(x)) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT rid, i + k AS i FROM twice, (SELECT unnest(range(0, {n})) AS k)),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS x FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (rid, i) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+
 def op4() -> str:
     words = ", ".join(_q(w) for w in Q.WORD_LIST)
     langs = ", ".join(_q(x) for x in sorted(Q.COMMON_WORDS))
@@ -94,4 +107,4 @@ SELECT doc_id, n_words, n_chars - c_space AS word_chars, n_symbols, dup AS n_dup
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": op2(), "op4_quality_rules": op4()}
+    return {"op2_url_filter": op2(), "op3_substring_dedup": op3(), "op4_quality_rules": op4()}

@@ -4,15 +4,28 @@ production parameters to its whole table."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ticketlens.llm import fingerprint, language_id, mixing, quality_classifier, quality_rules, secret_scan, url_filter
+from ticketlens.llm import fingerprint, language_id, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, url_filter
 from ticketlens.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip: whether the decoded ids are the text."""
+    rows = sentencepiece_codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = sentencepiece_codec.decode(rows)
+    same = F.col("decoded").eqNullSafe(F.translate("text", sentencepiece_codec.SPACE, " "))
+    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_quality(table(spark, sf_dir, "documents")).drop("word_js", "class_js")
 
@@ -38,4 +51,4 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op2_url_filter, op4_quality_rules, op5_language_id, op6_quality_classifier, op8_mixing, op9_secret_scan, op10_fingerprint)}
+    op1_sentencepiece, op2_url_filter, op3_substring_dedup, op4_quality_rules, op5_language_id, op6_quality_classifier, op8_mixing, op9_secret_scan, op10_fingerprint)}
