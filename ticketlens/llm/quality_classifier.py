@@ -25,9 +25,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import crc_mod, cut, let, text_or_empty, words
+from ticketlens.llm.common import NOT_SPACE, crc_mod, cut, let, text_or_empty, words
 from ticketlens.llm.quality_rules import WORD_LIST, char_classes, repeated_lines
-from ticketlens.llm.common import NOT_SPACE
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -35,12 +34,13 @@ SHRINKAGE = 0.2
 FULL_WEIGHT = 30
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words and x, the array of transformed statistics."""
+def statistics(docs: DataFrame, keep: tuple = ()) -> DataFrame:
+    """doc_id, n_words, x (the array of transformed statistics) and the
+    columns to keep."""
     text = F.col("text")
-    df = docs.select("doc_id", text_or_empty("text").alias("text"))
+    df = docs.select("doc_id", text_or_empty("text").alias("text"), *keep)
     df = df.select(
-        "doc_id", words(text).alias("w"), F.length(text).alias("n_chars"), *char_classes(text),
+        "doc_id", *keep, words(text).alias("w"), F.length(text).alias("n_chars"), *char_classes(text),
         repeated_lines(text).alias("dup_lines"),
         F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_SPACE))).alias("lines"),
         F.size(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D.,]+"), lambda x: x.isin(WORD_LIST))).alias("common"))
@@ -52,7 +52,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         return F.log((F.col(a) + 0.5) / (F.col(b) + 1.0))
 
     df = df.withColumn("chars", F.col("n_chars") - F.col("c_space"))
-    return df.select("doc_id", F.col("n").cast("long").alias("n_words"), F.array(
+    return df.select("doc_id", *keep, F.col("n").cast("long").alias("n_words"), F.array(
         F.log1p("n"), F.log1p(F.col("chars") / F.greatest("n", F.lit(1))),
         share("c_symbol", "chars"), share("c_upper", "chars"), share("c_digit", "chars"), share("c_mark", "chars"),
         share("common", "n"), share("distinct", "n"), share("dup_lines", "lines"), share("lines", "n"), share("echo", "n"),
@@ -112,23 +112,37 @@ def fit(stats: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE) -> Mo
     return Model(mean, scale, [centre[0], centre[1]], inverse, log_dets, [float(np.log(count[k] / n)) for k in (0, 1)])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, n_words, score, predicted of every row."""
-    stats = cut(statistics(docs))
-    model = fit(stats, labels)
+def score_of(model: Model | float):
+    """The score column of statistics (x, n_words)."""
     if isinstance(model, float):
         score = F.lit(model)
     else:
         @F.pandas_udf("double")
-        def score_of(x, n_words):
+        def scored(x, n_words):
             import pandas as pd
             if not len(x):
                 return pd.Series([], dtype="float64")
             m = np.clip(model.margin(np.vstack(x.to_numpy()), n_words.to_numpy()), -40, 40)
             return pd.Series(np.round(1 / (1 + np.exp(-m)), 6))
 
-        score = score_of("x", "n_words")
+        score = scored("x", "n_words")
+    return F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(score)
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, n_words, score, predicted of every row."""
+    stats = cut(statistics(docs))
     return stats.select(
         "doc_id", F.coalesce(crc_mod("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "n_words",
-        F.when(F.col("n_words") == 0, F.lit(0.0)).otherwise(score).alias("score"),
+        score_of(fit(stats, labels)).alias("score"),
     ).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score of the threshold or more, with their
+    columns. The statistics are taken twice, once to fit and once to judge:
+    a row's decision needs no join back."""
+    model = fit(cut(statistics(docs)), labels)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = statistics(docs.select("doc_id", "text", row), keep=("row",))
+    return rows.where(score_of(model) >= threshold).select("row.*")

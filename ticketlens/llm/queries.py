@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlens.llm import fingerprint, language_id, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, url_filter
+import corpus_pipeline
+from ticketlens.llm import fingerprint, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, url_filter
 from ticketlens.llm.common import table
 
 
@@ -38,6 +39,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("n_words")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_links")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -51,4 +56,4 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {f.__name__: f for f in (
-    op1_sentencepiece, op2_url_filter, op3_substring_dedup, op4_quality_rules, op5_language_id, op6_quality_classifier, op8_mixing, op9_secret_scan, op10_fingerprint)}
+    op1_sentencepiece, op2_url_filter, op3_substring_dedup, op4_quality_rules, op5_language_id, op6_quality_classifier, op7_near_dedup, op8_mixing, op9_secret_scan, op10_fingerprint)} | {"pipeline": corpus_pipeline.run}
