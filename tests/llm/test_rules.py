@@ -1,0 +1,146 @@
+"""URL filter and quality rules."""
+
+import re
+from collections import Counter
+
+import pytest
+
+from ticketlens.llm import quality_rules as Q
+from ticketlens.llm import url_filter as U
+from tests.llm.conftest import rows_of
+
+PAGES = "page_id long, url string, html string, host string, rule string"
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "clash", "clash") for r in rows], PAGES)
+
+
+def brute_rule(host, path):
+    fit = [(len(r), v, r) for v, r in U.RULES
+           if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/"):])]
+    return max(fit)[1:] if fit else (None, None)
+
+
+def test_rules_and_parts_of_urls(spark):
+    urls = ["http://A.Example.ORG/es/1", "https://example.org/en/12?x=/y", "http://x.com/fr/", "http://com/de/#a", "http://org", "http://org/",
+            "http://notorg/", "mailto:x", None, "", "ftp://ÄB.org/\u00c4#q", "a://b.org?x/://c.com/fr/", "://x.net", "http://example.com/en/1"]
+    got = {r.page_id: r for r in U.filter_urls(pages(spark, [(k, u, None) for k, u in enumerate(urls)])).collect()}
+    assert len(got) == len(urls)
+    for k, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        verdict, rule = brute_rule(host, path)
+        assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule)
+        if verdict:
+            assert got[k].verdict == verdict
+
+
+def test_propagation_matches_brute_force(spark):
+    def a(*links):
+        return "".join(f'<p><A class=x HREF="{x}">t</a>' for x in links)
+
+    rows = [(1, "http://good.org/1", a("http://friend.net/", "//friend.net/2", "/own", "http://good.org/2")),
+            (2, "http://friend.net/1", a("https://far.net/x", "https://bad.example.com/de/1")),
+            (3, "http://bad.example.com/de/1", a("http://far.net")),
+            (4, "http://lover.net/", a("http://bad.example.com/x", "http://bad.example.com/y", "http://fan.net/")),
+            (5, "http://fan.net/", a("http://lover.net/")), (6, "http://far.net/", None), (7, None, a("http://far.net/")), (7, None, None)]
+    got = {(r.page_id, r.host): r.verdict for r in U.filter_urls(pages(spark, rows)).collect()}
+    hosts = {r[0]: re.match(r"([^/?#]*)", r[1].split("://")[1])[1] if r[1] else "" for r in rows}
+    edges, seeds = Counter(), {"t": Counter(), "d": Counter()}
+    for k, url, html in rows:
+        for link in re.findall('HREF="([^"]*)"', html or ""):
+            to = re.sub(r"^\w*:?//", "", link).split("/")[0] if "//" in link else hosts[k]
+            if hosts[k] and to != hosts[k]:
+                edges[hosts[k], to] += 1
+    for kind, word in (("t", "allow"), ("d", "block")):
+        for h in set(hosts.values()):
+            own = [brute_rule(h, re.match(r"[^/?#]*([^?#]*)", r[1].split("://")[1])[1])[0] for r in rows if r[1] and hosts[r[0]] == h]
+            if word in own:
+                seeds[kind][h] = own.count(word) / len(own)
+    score = {}
+    for kind in "td":
+        e = edges if kind == "t" else Counter({(v, u): n for (u, v), n in edges.items()})
+        out = Counter()
+        for (u, _), n in e.items():
+            out[u] += n
+        s = Counter(seeds[kind])
+        for _ in range(U.STEPS):
+            t = Counter(seeds[kind])
+            for (u, v), n in e.items():
+                t[v] += s[u] * U.DAMPING * n / out[u]
+            s = t
+        score[kind] = s
+    for (k, h), verdict in got.items():
+        url = next(r[1] for r in rows if r[0] == k)
+        ruled = brute_rule(h, re.match(r"[^/?#]*([^?#]*)", url.split("://")[1])[1])[0] if url else None
+        assert verdict == (ruled or ("block" if score["d"][h] > score["t"][h] + 1e-9 else "allow"))
+    assert got[4, "lover.net"] == "block" and got[5, "fan.net"] == "block" and got[6, "far.net"] == "allow"
+    assert rows_of(U.filter_urls(pages(spark, [])), "page_id") == []
+
+
+def base_numbers(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    n = Counter(windows)
+    covered = {i + j for i, w in enumerate(windows) if n[w] > 1 for j in range(3)}
+    failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed)
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+@pytest.fixture(scope="module")
+def judged(documents):
+    return Q.judge_quality(documents).collect()
+
+
+def test_base_rules_match_brute_force(corpus, judged):
+    want = sorted(((r[0], *base_numbers(r[1])) for r in corpus), key=repr)
+    assert sorted(((r.doc_id, *[r[n] for n in NAMES]) for r in judged), key=repr) == want
+
+
+def test_lines_and_odd_spaces(spark):
+    texts = ["a\nb\na\n \n \na ", "a a a a", "x\u00a0y\u2003z 日本 😀😀", "a\r\na\r\n", "\x0b\x0c a b c a b c"]
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: tuple(r[n] for n in NAMES) for r in Q.judge_quality(df).collect()}
+    assert got == {k: base_numbers(t) for k, t in enumerate(texts)}
+
+
+def test_method_keeps_prose_and_drops_junk(judged):
+    for r in judged:
+        if r.doc_id is not None and r.doc_id < 106:
+            assert r.kept, (r.doc_id, r.word_js, r.class_js)
+        if r.doc_id is not None and 106 <= r.doc_id < 126:
+            assert not r.kept
+
+
+def test_divergence_matches_brute_force(documents, judged):
+    import math
+    refs = Q.references(documents)
+    docs = {r.doc_id: r.text for r in documents.collect() if r.doc_id is not None}
+    for r in judged:
+        if r.doc_id in (0, 1, 91, 110, 206):
+            tokens = [w for w in re.split(r"[\x20\x09-\x0D.,]+", docs[r.doc_id].lower()) if w]
+            n = Counter(w if w in Q.WORD_LIST else None for w in tokens)
+            best = 1.0
+            for ref in refs.values():
+                js = 0.0
+                for w, q in zip([*Q.WORD_LIST, None], ref["words"]):
+                    p = n[w] / len(tokens)
+                    m = (p + q) / 2
+                    js += (p * math.log2(p / m) if p else 0) / 2 + q * math.log2(q / m) / 2
+                best = min(best, math.sqrt(max(0, js)))
+            assert r.word_js == pytest.approx(best, abs=1e-9)
+
+
+def test_odd_tables(empty, documents, clashing, judged, spark):
+    assert Q.judge_quality(empty).collect() == []
+    key = lambda rows: sorted((tuple(r) for r in rows), key=repr)
+    assert key(Q.judge_quality(clashing).collect()) == key(judged)
+    other = spark.createDataFrame([(1, "### " * 20 + "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2, "xx")], "doc_id long, text string, lang string")
+    assert Q.judge_quality(other).head().kept == (not Q.judge_quality(other).head().base_failed)
