@@ -141,7 +141,6 @@ def test_near_duplicates_match_brute_force(corpus, classed):
 
 def test_weighted_jaccard_and_sampling_agree(corpus):
     """The share of equal samples estimates the weighted similarity."""
-    from ticketlens.llm.token_hashes import Runs  # noqa: F401
     rng = np.random.default_rng(2)
     factors = (1 + rng.random(2 * N.WIDTH)).astype(np.float32)
     base = rng.integers(0, 2 ** 63, 400).astype(np.uint64)
