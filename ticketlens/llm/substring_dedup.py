@@ -119,7 +119,8 @@ def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
         "anchor", "doc_id", "digest", "at", "n", F.when(F.col("branches"), F.col("hashes")).alias("hashes")))
     whole = found.where("hashes is null").select("doc_id", "digest", "at", "n")
     single = found.where("hashes is not null").select("anchor", "doc_id", "digest", "at", F.posexplode("hashes").alias("k", "hash"))
-    twice = single.groupBy("anchor", "hash").agg(F.count("*").alias("count")).where("count > 1").select("anchor", "hash")
+    # a table of its own: only then can the join's hot partitions be split
+    twice = cut(single.groupBy("anchor", "hash").agg(F.count("*").alias("count")).where("count > 1").select("anchor", "hash"))
     part = single.join(twice, ["anchor", "hash"]).select("doc_id", "digest", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
     return whole.unionByName(part)
 
