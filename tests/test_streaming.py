@@ -85,7 +85,7 @@ def test_review_feed_stream_equals_batch(spark):
 def test_triage_stream_equals_batch_and_replay_safe(spark):
     base = _tmp()
     src = os.path.join(base, "in")
-    et = T.embedded_tickets(spark, SF)
+    et = T.embedded_tickets(spark, SF).where("embedding is not null")
     et.repartition(3, "ticket_id").write.parquet(src)
     heads = Q.heads(spark, SF)
     stream_in = spark.readStream.schema(et.schema).option("maxFilesPerTrigger", 1).parquet(src)
@@ -106,3 +106,36 @@ def test_triage_stream_equals_batch_and_replay_safe(spark):
         spark.readStream.schema(et.schema).parquet(src), heads), out, ck)
     q2.awaitTermination(300)
     assert spark.read.parquet(out).count() == len(b)
+
+
+def test_feed_restart_with_more_files_loses_nothing(spark):
+    """Started, files added, started again with other batch sizes: the
+    stream's output equals the batch query."""
+    base = _tmp()
+    src, out, ck = (os.path.join(base, x) for x in ("log", "feed", "ck"))
+    log = T.predictions(spark, SF).select(*schemas.PREDICTIONS.fieldNames())
+    log.where("id % 2 = 0").repartition(3).write.parquet(src)
+    ST.start_append(ST.review_feed_stream(ST.read_log_stream(spark, src, 1)), out, ck).awaitTermination(300)
+    log.where("id % 2 = 1").repartition(2).write.mode("append").parquet(src)
+    ST.start_append(ST.review_feed_stream(ST.read_log_stream(spark, src, 2)), out, ck).awaitTermination(300)
+    got = sorted(r.id for r in spark.read.parquet(out).collect())
+    assert got == sorted(r.id for r in review.open_items(log).collect()) and got
+
+
+def test_triage_restart_with_more_files_equals_batch(spark):
+    base = _tmp()
+    src, out, ck = (os.path.join(base, x) for x in ("in", "log", "ck"))
+    et = T.embedded_tickets(spark, SF).where("embedding is not null")
+    heads = Q.heads(spark, SF)
+
+    def start(files):
+        stream = spark.readStream.schema(et.schema).option("maxFilesPerTrigger", files).parquet(src)
+        ST.start_triage(ST.triage_stream(stream, heads), out, ck).awaitTermination(300)
+
+    et.where("ticket_id % 2 = 0").repartition(3).write.parquet(src)
+    start(1)
+    et.where("ticket_id % 2 = 1").repartition(2).write.mode("append").parquet(src)
+    start(2)
+    want = {r.ticket_id: r.pred_category for r in scoring.score(et, "embedding", heads, keep=("ticket_id",)).collect()}
+    rows = spark.read.parquet(out).collect()
+    assert len(rows) == len(want) and {r.id: r.pred_category for r in rows} == want

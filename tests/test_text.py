@@ -64,3 +64,15 @@ def test_encoder_hook(spark):
     df = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(encoder_column(F.col("t"), load, batch_size=2)).collect()]
     assert got == [[5.0, 2.0], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_term_frequencies_match_counter(spark):
+    import random
+    from collections import Counter
+
+    from ticketlens.functions.text import term_frequencies
+    rng = random.Random(3)
+    rows = [(k, [rng.choice("abcdé") * rng.randrange(1, 3) for _ in range(n)]) for k, n in enumerate((0, 1, 2, 50, 400))]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    for r in df.select("id", term_frequencies("t").alias("f")).collect():
+        assert {e.term: e.tf for e in r.f} == dict(Counter(rows[r.id][1])) and len(r.f) == len(set(rows[r.id][1]))

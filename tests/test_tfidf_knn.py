@@ -92,8 +92,9 @@ def test_df_bounds_inclusive(spark):
     assert "common" in terms and "pair" in terms and "solo" not in terms
 
 
-@pytest.mark.parametrize("batch", [1000, 3])
-def test_topk_equals_brute_force(spark, batch):
+@pytest.mark.parametrize("options", [{}, {"block_queries": 3, "part_postings": 40},
+                                     {"block_queries": 2, "part_postings": 100, "max_broadcast": 0}])
+def test_topk_equals_brute_force(spark, options):
     corpus = make_corpus(2, 60)
     queries = {100 + i: corpus[i] for i in range(6)}
     queries[200] = "zzz unknownword"           # no known term: k highest ids, score 0
@@ -102,7 +103,7 @@ def test_topk_equals_brute_force(spark, batch):
     model = tfidf.fit(c, "id", "text")
     cw = tfidf.weights(tfidf.term_counts(c, "id", "text"), model)
     qw = tfidf.transform(q, "id", "text", model)
-    got = knn.similar_topk(q.select("id"), qw, c.select("id"), cw, 4, max_batch_queries=batch).collect()
+    got = knn.similar_topk(q.select("id"), qw, c.select("id"), cw, 4, **options).collect()
     want = py_topk(queries, corpus, py_fit(corpus), 4)
     by_q = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
@@ -155,27 +156,66 @@ def test_topk_dense_path_equals_brute_force(spark):
     assert by_q == {qid: [i for i, _ in rows] for qid, rows in want.items()}
 
 
-@pytest.mark.parametrize("path", ["cut", "shuffle"])
-def test_transform_large_vocabulary_paths(spark, monkeypatch, path):
-    """Vocabulary over the broadcast bound: the query side cuts it down by
-    a broadcast semi join ("cut": the model reports a huge vocabulary), or,
-    with the query terms over the bound too, falls back to the shuffle
-    join ("shuffle": bound 0). Both equal the plain-Python vectoriser."""
+@pytest.mark.parametrize("broadcast", [10 ** 6, 0])
+def test_transform_with_and_without_broadcast(spark, broadcast):
+    """A vocabulary over the bound: hot terms are broadcast, the rest is
+    joined by a shuffle. Both equal the plain-Python vectoriser."""
     corpus = make_corpus(3, 40)
     queries = {100 + i: t for i, t in enumerate(list(corpus.values())[:6])}
     queries[200] = "zzzz unseen words only"
     c, q = _frames(spark, corpus, queries)
     model = tfidf.fit(c, "id", "text")
     vocab = py_fit(corpus)
-    if path == "cut":
-        model.n_terms = tfidf.MAX_BROADCAST_TERMS + 1
-    else:
-        monkeypatch.setattr(tfidf, "MAX_BROADCAST_TERMS", 0)
-    out = tfidf.transform(q, "id", "text", model)
-    plan = out._jdf.queryExecution().optimizedPlan().toString()
-    assert ("LeftSemi" in plan) == (path == "cut")
+    out = tfidf.transform(q, "id", "text", model, max_broadcast=broadcast)
     got = {(r.id, r.term): r.weight for r in out.collect()}
     want = {(i, t): w for i, text in queries.items() for t, w in py_vec(text, vocab).items()}
     assert set(got) == set(want)
     for key, w in want.items():
         assert got[key] == pytest.approx(w, rel=1e-12)
+
+
+def test_stored_index_in_any_layout(spark, tmp_path):
+    """The index written in 8 round-robin parts and read back gives the
+    top-k of the fresh one."""
+    corpus = make_corpus(2, 60)
+    c, q = _frames(spark, corpus, {100 + i: corpus[i] for i in range(6)})
+    tfidf.store(c, "id", "text", str(tmp_path / "index"))
+    model, stored = tfidf.load(spark, str(tmp_path / "index"))
+    stored.repartition(8).write.parquet(str(tmp_path / "dealt"))
+    qw = tfidf.transform(q, "id", "text", model)
+    want = {q_: [i for i, _ in rows] for q_, rows in py_topk({100 + i: corpus[i] for i in range(6)}, corpus, py_fit(corpus), 3).items()}
+    for w in (stored, spark.read.parquet(str(tmp_path / "dealt"))):
+        got = {}
+        for r in sorted(knn.similar_topk(q.select("id"), qw, c.select("id"), w, 3, part_postings=50).collect(), key=lambda r: r.rank):
+            got.setdefault(r.query_id, []).append(r.id)
+        assert got == want
+
+
+def test_group_memory_is_bounded_by_the_step(monkeypatch):
+    """Scores are made for at most STEP_VALUES document x query pairs."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(1)
+    corpus = pd.DataFrame({"id": np.repeat(np.arange(500), 4), "term": [f"t{x}" for x in rng.integers(0, 60, 2000)], "w": rng.random(2000)})
+    corpus = corpus.drop_duplicates(["id", "term"])
+    queries = pd.DataFrame({"query_id": np.repeat(np.arange(40), 5), "term": [f"t{x}" for x in rng.integers(0, 60, 200)], "qw": rng.random(200)})
+    queries = queries.drop_duplicates(["query_id", "term"])
+    whole = knn.top_of_group(corpus, queries, 3)
+    seen = []
+    inner = knn._step_scores
+    monkeypatch.setattr(knn, "STEP_VALUES", 2000)
+    monkeypatch.setattr(knn, "_step_scores", lambda *a: seen.append(a[3] * a[7]) or inner(*a))
+    stepped = knn.top_of_group(corpus, queries, 3)
+    assert len(seen) == 10 and max(seen) <= 2000
+    key = ["query_id", "id"]
+    a, b = (x.sort_values(key).reset_index(drop=True) for x in (whole, stepped))
+    assert a[key].equals(b[key]) and np.allclose(a["score"], b["score"])
+
+
+def test_texts_are_not_shuffled(spark):
+    """Tokens, n-grams and term counts are made in the scan's tasks."""
+    from ticketlens.plans import queries as Q
+    for name in ("q_tokens", "q_ngrams"):
+        plan = Q.REGISTRY[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange" in x and "text" in x]
+        assert not exchanges, plan

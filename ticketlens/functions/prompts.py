@@ -12,15 +12,6 @@ from pyspark.sql import functions as F
 from ticketlens.functions.text import strip_ws
 
 # The reference's prompt texts.
-SYSTEM_PROMPT = (
-    "You are a professional customer support agent. "
-    "Your job is to write a short, empathetic, and helpful reply "
-    "to a customer support ticket. "
-    "Keep the reply between 3 and 5 sentences. "
-    "Be polite, acknowledge the issue, and give a clear next step. "
-    "Do not use placeholders like [Name] or [Order ID] — write naturally. "
-    "Do not start with 'Dear Customer' — use 'Hi there' or 'Hello'."
-)
 USER_PROMPT_LINES = [
     "Ticket Category : ",
     "Priority        : ",

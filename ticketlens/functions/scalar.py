@@ -24,11 +24,16 @@ def _col(c) -> Column:
 def py_round(c, places: int) -> Column:
     """Round like Python's ``round(x, n)`` on a float: the exact binary
     value, half to even. Spark's ``round`` rounds the shortest decimal
-    form half-up (35.05 -> 35.1, Python gives 35.0); Java's
-    ``DecimalFormat`` behind ``format_number`` rounds the binary value
-    half-even. Known gap: below 1e-4 a value sitting on a decimal tie may
-    still round down (0.00005 -> 0.0, Python 0.0001)."""
-    return F.regexp_replace(F.format_number(_col(c), places), ",", "").cast("double")
+    form half-up (35.05 -> 35.1, Python gives 35.0). Away from ties the
+    nearest multiple is plain arithmetic; only values close to a tie (and
+    huge ones) take the slow, exact way through Java's ``DecimalFormat``.
+    Known gap: below 1e-4 a value sitting on a decimal tie may still round
+    down (0.00005 -> 0.0, Python 0.0001)."""
+    x = _col(c)
+    scaled = x * F.lit(float(10 ** places))
+    away = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) > F.lit(1e-6)
+    exact = F.regexp_replace(F.format_number(x, places), ",", "").cast("double")
+    return F.when((F.abs(scaled) < F.lit(1e9)) & away, F.floor(scaled + F.lit(0.5)) / F.lit(float(10 ** places))).otherwise(exact)
 
 
 def review_flag(raw_confidence) -> Column:
@@ -77,11 +82,6 @@ def match_pct(score) -> Column:
     return py_round(_col(score) * 100, 0)
 
 
-def zero_if_null(c) -> Column:
-    """An aggregate over no rows reads as 0."""
-    return F.coalesce(_col(c), F.lit(0))
-
-
 def priority_rank(label) -> Column:
     """High 1, Medium 2, Low 3; other labels sort last (null)."""
     c = _col(label)
@@ -89,8 +89,3 @@ def priority_rank(label) -> Column:
     for i, name in enumerate(PRIORITY_ORDER, start=1):
         expr = (F.when(c == name, i) if expr is None else expr.when(c == name, i))
     return expr
-
-
-def label_string(c) -> Column:
-    """Labels are compared as strings."""
-    return _col(c).cast("string")

@@ -58,3 +58,24 @@ def ngrams(tok) -> Column:
                     lambda i: F.concat(t[i], F.lit(" "), t[i + 1])),
     ).otherwise(F.array().cast("array<string>"))
     return F.concat(t, bigrams)
+
+
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row: a lambda
+    variable is never copied into the places that use it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def term_frequencies(terms) -> Column:
+    """``array<struct<term, tf>>`` of an array of terms, inside the row: the
+    terms are sorted, the first of each run marks its place, and the next
+    mark gives its length."""
+    def runs(s):
+        placed = F.transform(s, lambda x, i: F.struct(x.alias("term"), i.alias("at")))
+        firsts = F.filter(placed, lambda e: (e.at == 0) | (e.term != F.element_at(s, F.greatest(e.at, F.lit(1)))))
+        return bind(firsts, lambda r: F.zip_with(
+            r, F.concat(F.transform(F.slice(r, 2, F.size(r)), lambda e: e.at), F.array(F.size(s))),
+            lambda e, end: F.struct(e.term.alias("term"), (end - e.at).cast("long").alias("tf"))))
+
+    return bind(F.sort_array(_col(terms)), lambda s: F.when(
+        F.size(s) == 0, F.array().cast("array<struct<term:string,tf:bigint>>")).otherwise(runs(s)))

@@ -45,6 +45,15 @@ log AS (
 )"""
 
 
+DIRTY = """
+dirty AS (
+  SELECT ticket_id, CASE WHEN ticket_id % 7 = 0 THEN NULL WHEN ticket_id % 11 = 0 THEN '' WHEN ticket_id % 13 = 0 THEN ' '
+                         ELSE subject END AS subject,
+         description, CASE WHEN ticket_id % 9 <> 0 THEN category END AS category, priority, sentiment
+  FROM tickets
+)"""
+
+
 def _with(*ctes):
     return "WITH " + ",".join(ctes)
 
@@ -125,7 +134,12 @@ topk AS (
 )"""
 
 
-EMB = """
+def _emb(train: str = "") -> str:
+    """Scored embeddings; ``train`` restricts the rows of the centroids."""
+    return _EMB.replace("{train}", train)
+
+
+_EMB = """
 emb AS (
   SELECT vec_id, embedding, CAST(label AS VARCHAR) AS category,
          CASE label % 3 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' ELSE 'Low' END AS priority,
@@ -138,9 +152,9 @@ ex AS (
   FROM emb
 ),
 cen AS (
-  SELECT 'category' AS target, category AS label, pos, avg(x) AS m FROM ex GROUP BY category, pos
-  UNION ALL SELECT 'priority', priority, pos, avg(x) FROM ex GROUP BY priority, pos
-  UNION ALL SELECT 'sentiment', sentiment, pos, avg(x) FROM ex GROUP BY sentiment, pos
+  SELECT 'category' AS target, category AS label, pos, avg(x) AS m FROM ex {train} GROUP BY category, pos
+  UNION ALL SELECT 'priority', priority, pos, avg(x) FROM ex {train} GROUP BY priority, pos
+  UNION ALL SELECT 'sentiment', sentiment, pos, avg(x) FROM ex {train} GROUP BY sentiment, pos
 ),
 icpt AS (SELECT target, label, sum(m * m) * -40.0::DOUBLE AS b FROM cen GROUP BY target, label),
 z AS (
@@ -172,6 +186,8 @@ pairs AS (
   UNION ALL SELECT 'sentiment', sentiment, pred_sentiment FROM scored_emb
 )"""
 
+EMB = _emb()
+
 METRIC_CTES = """
 cls AS (
   SELECT target, label, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp,
@@ -194,7 +210,7 @@ pc AS (
 
 def _split(src, key, label, seed=42):
     return f"""
-{src}_cnt AS (SELECT {label} AS label, count(*) AS n_c FROM {src} GROUP BY {label}),
+{src}_cnt AS (SELECT {label} AS label, count(*) AS n_c FROM {src} WHERE {label} IS NOT NULL GROUP BY {label}),
 {src}_tot AS (SELECT sum(n_c) AS n, sum(n_c) - ceil(0.2::DOUBLE * sum(n_c)) AS n_train FROM {src}_cnt),
 {src}_ex AS (
   SELECT c.label, c.n_c, t.n_train, floor(c.n_c * t.n_train / t.n) AS base,
@@ -368,12 +384,12 @@ SQL["q_batch_summary"] = _with(TICKETS, EMB, _BATCH) + """
 SELECT count(*) AS count, 0.0::DOUBLE AS avg_latency_ms, count(*) FILTER (WHERE requires_review) AS flagged
 FROM bt"""
 
-SQL["q_validate"] = _with(TICKETS) + """
+SQL["q_validate"] = _with(TICKETS, DIRTY) + """
 SELECT ticket_id,
        CASE WHEN subject IS NULL THEN 'subject_missing' WHEN length(subject) < 1 THEN 'subject_empty'
             WHEN description IS NULL THEN 'description_missing' WHEN length(description) < 1 THEN 'description_empty'
        END AS reject_reason
-FROM tickets"""
+FROM dirty"""
 
 _TRIAGE_Q = f"""
 tq AS (
@@ -391,17 +407,17 @@ FROM scored_emb s JOIN topk k ON s.vec_id = k.query_id"""
 
 _LABEL_LONG = """
 ll AS (
-  SELECT 'category' AS target, category AS label FROM tickets
-  UNION ALL SELECT 'priority', priority FROM tickets
-  UNION ALL SELECT 'sentiment', sentiment FROM tickets
+  SELECT 'category' AS target, category AS label FROM dirty
+  UNION ALL SELECT 'priority', priority FROM dirty
+  UNION ALL SELECT 'sentiment', sentiment FROM dirty
 )"""
 
-SQL["q_label_counts"] = _with(TICKETS, _LABEL_LONG) + """
+SQL["q_label_counts"] = _with(TICKETS, DIRTY, _LABEL_LONG) + """
 SELECT target, count(*) AS rows, count(DISTINCT label) AS n_labels,
        count(*) FILTER (WHERE label IS NULL) AS null_labels
 FROM ll GROUP BY target"""
 
-SQL["q_metadata"] = _with(TICKETS, _LABEL_LONG) + """
+SQL["q_metadata"] = _with(TICKETS, DIRTY, _LABEL_LONG) + """
 SELECT target, row_number() OVER (PARTITION BY target ORDER BY label) - 1 AS label_index, label
 FROM (SELECT DISTINCT target, label FROM ll WHERE label IS NOT NULL)"""
 
@@ -450,14 +466,17 @@ cnt AS (SELECT target, y, yhat, count(*) AS n FROM pairs GROUP BY target, y, yha
 SELECT sq.target, sq.true_label, sq.pred_label, coalesce(cnt.n, 0) AS n
 FROM sq LEFT JOIN cnt ON sq.target = cnt.target AND sq.true_label = cnt.y AND sq.pred_label = cnt.yhat"""
 
-_EMB_SPLIT = _split("scored_emb", "vec_id", "category")
+_EMB_SPLIT = """
+emb0 AS (SELECT vec_id, CAST(label AS VARCHAR) AS category FROM embeddings),""" + _split("emb0", "vec_id", "category").lstrip("\n")
+_HELD_OUT = _with(_EMB_SPLIT, _emb("WHERE vec_id IN (SELECT vec_id FROM emb0_split WHERE NOT is_test)"), """
+scored_emb_split AS (SELECT s.*, e.is_test FROM scored_emb s JOIN emb0_split e USING (vec_id))""")
 
-SQL["q_eval_pairs"] = _with(EMB, _EMB_SPLIT) + """
+SQL["q_eval_pairs"] = _HELD_OUT + """
 SELECT vec_id, category AS true_category, priority AS true_priority, sentiment AS true_sentiment,
        pred_category, pred_priority, pred_sentiment
 FROM scored_emb_split WHERE is_test"""
 
-SQL["q_report"] = _with(EMB, _EMB_SPLIT) + """
+SQL["q_report"] = _HELD_OUT + """
 , tp AS (
   SELECT 'category' AS target, category AS y, pred_category AS yhat FROM scored_emb_split WHERE is_test
   UNION ALL SELECT 'priority', priority, pred_priority FROM scored_emb_split WHERE is_test
@@ -471,5 +490,60 @@ SELECT 'phase3' AS phase, acc.target, 'embeddings' AS dataset, (SELECT count(*)
 FROM acc JOIN f ON acc.target = f.target"""
 
 
+SQL["q_quarantine"] = _with(TICKETS) + """
+SELECT ticket_id, CASE WHEN subject IS NULL THEN 'subject_missing' WHEN length(subject) < 1 THEN 'subject_empty'
+    WHEN description IS NULL THEN 'description_missing' WHEN length(description) < 1 THEN 'description_empty'
+    ELSE 'embedding_missing' END AS reject_reason
+FROM tickets t LEFT JOIN embeddings e ON e.vec_id = t.ticket_id
+WHERE e.vec_id IS NULL OR coalesce(length(subject), 0) < 1 OR coalesce(length(description), 0) < 1"""
+
+SQL["q_triage_log"] = _with(TICKETS, EMB, _BATCH) + """
+SELECT ticket_id AS id, pred_category, pred_priority, pred_sentiment, confidence, requires_review, false AS reviewed FROM bt"""
+
+SQL["q_log_lookup"] = _with(LOG) + """
+SELECT id, pred_category, confidence FROM preds WHERE id IN (SELECT ticket_id FROM actions)"""
+
+SQL["q_preview"] = _with(TICKETS) + """
+SELECT ticket_id, subject, category FROM tickets ORDER BY ticket_id LIMIT 5"""
+
+SQL["q_null_labels"] = _with(TICKETS, DIRTY) + """
+SELECT ticket_id, CASE WHEN category IS NULL THEN 'category_missing' WHEN priority IS NULL THEN 'priority_missing'
+    ELSE 'sentiment_missing' END AS reject_reason
+FROM dirty WHERE category IS NULL OR priority IS NULL OR sentiment IS NULL"""
+
+_EVAL = """
+ev AS (SELECT 'priority' AS target, priority AS y,
+              CASE WHEN ticket_id % 3 = 0 THEN 'Low' WHEN ticket_id % 50 = 1 THEN 'Urgent' ELSE priority END AS yhat FROM tickets)"""
+SQL["q_eval_report"] = SQL["q_class_report"].replace(_with(EMB, METRIC_CTES.format(p="pairs")), _with(TICKETS, _EVAL, METRIC_CTES.format(p="ev")))
+
+
+def _trained(src: str, key: str, targets, phase: str = "") -> str:
+    """The solver-independent columns of a fitted phase on ``src``."""
+    parts = []
+    for t in targets:
+        parts.append(f"""
+SELECT {phase}'{t}' AS target, (SELECT count(*) FROM {src}_split WHERE NOT is_test) AS train_rows,
+       (SELECT count(*) FROM {src}_split WHERE is_test) AS test_rows,
+       (SELECT count(DISTINCT {t}) FROM {src}_split WHERE NOT is_test) AS n_classes,
+       round((SELECT avg(CASE WHEN {t} = (SELECT {t} FROM {src}_split WHERE NOT is_test GROUP BY {t} ORDER BY count(*) DESC, {t} LIMIT 1)
+                              THEN 1.0::DOUBLE ELSE 0.0 END) FROM {src}_split WHERE is_test), 10) AS majority_accuracy,
+       true AS learned""")
+    return " UNION ALL ".join(parts)
+
+
+_TARGETS = ("category", "priority", "sentiment")
+_EMB_ROWS = _EMB[: _EMB.index(",\nex AS")]
+_LABELLED = """
+labelled AS (SELECT * FROM tickets WHERE ticket_id IN (SELECT doc_id FROM labels))"""
+SQL["q_train_embedding"] = _with(_EMB_ROWS, _split("emb", "vec_id", "category")) + _trained("emb", "vec_id", _TARGETS)
+SQL["q_train_tfidf"] = _with(TICKETS, _split("tickets", "ticket_id", "category")) + _trained("tickets", "ticket_id", ("category",))
+SQL["q_phase_report"] = _with(
+    TICKETS, _LABELLED, _split("labelled", "ticket_id", "category"), _split("tickets", "ticket_id", "category"),
+    _EMB_ROWS, _split("emb", "vec_id", "category")) + " UNION ALL ".join([
+        _trained("labelled", "ticket_id", ("category",), "'phase1' AS phase, "),
+        _trained("tickets", "ticket_id", ("category",), "'phase2' AS phase, "),
+        _trained("emb", "vec_id", _TARGETS, "'phase3' AS phase, ")])
+
+
 def oracle_sql() -> dict:
     return dict(SQL)

@@ -7,18 +7,22 @@ aliases as the oracle SQL in ``plans.oracle``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import scalar as S
 from ticketlens.functions.prompts import user_prompt
 from ticketlens.functions.text import ngrams, serving_text, tokens, training_text
 from ticketlens.operators import analytics as A
-from ticketlens.operators import knn, metrics, review, scoring, split, tfidf
+from ticketlens.operators import knn, metrics, review, scoring, split, tfidf, training
+from ticketlens.session import ensure_checkpoint_dir
 from ticketlens.sources import io
 from ticketlens.sources import tables as T
 
 SIMILAR_K = 3
+LOG_TIME = "2025-01-01 00:00:00"  # of the log rows that the queries write
 TARGETS = ("category", "priority", "sentiment")
 
 
@@ -30,25 +34,21 @@ def current_log(spark, sf):
 
 
 def corpus_text(spark, sf):
-    """Training text of every ticket, hash-partitioned by ticket id right
-    after the scan so all per-row text work runs in parallel."""
-    t = tfidf.by_document(T.tickets(spark, sf, spread=False), "ticket_id")
-    return t.select("ticket_id", "subject", "category",
-                    training_text("subject", "description").alias("text"))
-
-
-def corpus_model(spark, sf):
-    c = corpus_text(spark, sf)
-    postings = tfidf.index_postings(c, "ticket_id", "text", partitioned=True)
-    model = tfidf.fit(c, "ticket_id", "text", postings=postings)
-    return c, postings, model
+    """Training text of every ticket."""
+    return T.tickets(spark, sf).select("ticket_id", "subject", "category",
+                                       training_text("subject", "description").alias("text"))
 
 
 def corpus_index(spark, sf):
-    """Corpus text, fitted model and the persisted unit weights
-    ``(id, term, weight)`` shared by every similarity query."""
-    c, postings, model = corpus_model(spark, sf)
-    return c, model, tfidf.index_weights(postings, model)
+    """(model, unit rows ``(id, term, weight)``) of the stored index. It
+    is written once per version of its tables, into the session's shared
+    folder, and read back by every query, as the reference loads its
+    index at start-up."""
+    version = T.version(spark, f"{sf}/documents.parquet", f"{sf}/labels.parquet")
+    path = f"{ensure_checkpoint_dir(spark)}/tfidf-index-{version}"
+    if not io.path_exists(spark, f"{path}/meta/_SUCCESS"):
+        tfidf.store(corpus_text(spark, sf), "ticket_id", "text", path)
+    return tfidf.load(spark, path)
 
 
 def query_text(spark, sf):
@@ -56,22 +56,14 @@ def query_text(spark, sf):
     return q.select("query_id", serving_text("subject", "description").alias("text"))
 
 
-_HEADS = {}
-
-
 def heads(spark, sf):
-    """The three fixture heads, built once per session and table set
-    (the reference loads its models once at start-up)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _HEADS:
-        _HEADS[key] = scoring.load_heads(scoring.centroid_heads(T.embedding_rows(spark, sf), "embedding"))
-    return _HEADS[key]
+    """The three fixture heads: class centroids of all embeddings."""
+    return scoring.load_heads(scoring.centroid_heads(T.embedding_rows(spark, sf), "embedding"))
 
 
 def scored_embeddings(spark, sf):
     rows = T.embedding_rows(spark, sf)
-    s = scoring.score(rows, "embedding", heads(spark, sf), keep=("vec_id",) + TARGETS)
-    return s
+    return scoring.score(rows, "embedding", heads(spark, sf), keep=("vec_id",) + TARGETS)
 
 
 def eval_pairs_all(spark, sf):
@@ -187,31 +179,31 @@ def q_tokens(spark, sf):
 
 def q_ngrams(spark, sf):
     c = corpus_text(spark, sf)
-    return tfidf.term_counts(c, "ticket_id", "text", partitioned=True).select(
+    return tfidf.term_counts(c, "ticket_id", "text").select(
         F.col("id").alias("ticket_id"), "term", "tf")
 
 
 # -- TF-IDF and similarity (X3-X9, T2) --------------------------------------------
 
 def q_vocabulary(spark, sf):
-    _, _, model = corpus_model(spark, sf)
+    model, _ = corpus_index(spark, sf)
     return model.vocabulary.select("term", "df", _r("idf"))
 
 
 def q_tfidf_weights(spark, sf):
-    _, _, cw = corpus_index(spark, sf)
+    _, cw = corpus_index(spark, sf)
     return cw.select(
         F.col("id").alias("ticket_id"), "term", _r("weight"))
 
 
 def q_similar_new(spark, sf):
-    _, _, model = corpus_model(spark, sf)
+    model, _ = corpus_index(spark, sf)
     qw = tfidf.transform(query_text(spark, sf), "query_id", "text", model)
     return qw.select(F.col("id").alias("query_id"), "term", _r("weight"))
 
 
 def q_similar_scores(spark, sf):
-    _, model, cw = corpus_index(spark, sf)
+    model, cw = corpus_index(spark, sf)
     qw = tfidf.transform(query_text(spark, sf), "query_id", "text", model)
     s = tfidf.cosine_scores(qw, cw)
     return s.select("query_id", F.col("id").alias("ticket_id"), _r("score", 8))
@@ -219,13 +211,13 @@ def q_similar_scores(spark, sf):
 
 def similar_for(spark, sf, queries: DataFrame, qid: str, text: str, k: int):
     """Top-k corpus tickets for a table of query texts, with the
-    corpus subject and category, score to 4 places and match percent."""
-    c, model, cw = corpus_index(spark, sf)
+    corpus subject and category, score to 4 places and match percent. The
+    attributes come from the plain table, joined to the short top list."""
+    model, cw = corpus_index(spark, sf)
     qw = tfidf.transform(queries, qid, text, model)
-    top = knn.similar_topk(queries.select(F.col(qid).alias("id")), qw,
-                           c.select(F.col("ticket_id").alias("id")), cw, k)
-    attrs = c.select(F.col("ticket_id").alias("id"), "subject", "category")
-    return top.join(attrs, "id", "inner").select(
+    t = T.tickets(spark, sf).select(F.col("ticket_id").alias("id"), "subject", "category")
+    top = knn.similar_topk(queries.select(F.col(qid).alias("id")), qw, t.select("id"), cw, k)
+    return top.join(t, "id", "inner").select(
         F.col("query_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("ticket_id"),
         "subject", "category",
         S.py_round(F.col("score"), S.SCORE_PLACES).alias("score"),
@@ -252,24 +244,34 @@ def q_score_multi(spark, sf):
         "vec_id", "pred_category", "pred_priority", "pred_sentiment", "confidence", "requires_review")
 
 
+INPUT = ("ticket_id", "subject", "description")
+
+
 def _batch_scored(spark, sf):
-    et = T.embedded_tickets(spark, sf)
-    valid, _ = io.split_valid(et)
-    return scoring.score(valid, "embedding", heads(spark, sf),
-                         keep=("ticket_id", "subject", "description") + TARGETS)
+    """The valid tickets with an embedding, scored. ``q_quarantine`` has all
+    other tickets, each with its reason."""
+    valid, _ = io.split_valid(T.embedded_tickets(spark, sf), features="embedding")
+    return scoring.score(valid, "embedding", heads(spark, sf), keep=INPUT + TARGETS)
+
+
+def q_quarantine(spark, sf):
+    """The tickets that the batch does not score, with their reason."""
+    _, rejected = io.split_valid(T.embedded_tickets(spark, sf), features="embedding")
+    return rejected.select("ticket_id", "reject_reason")
 
 
 def q_prediction_log(spark, sf):
-    """Log rows of a scored batch (caller-given ids, latency as data)."""
-    s = _batch_scored(spark, sf)
-    return io.log_rows(s, "ticket_id", latency_ms=0.0, ts=F.lit(None).cast("timestamp")).drop("timestamp")
+    """The log rows of a scored batch (caller-given ids, latency
+    and time as data), appended to a new log and read back from it."""
+    path = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    io.create_log(spark, path)
+    io.append_log(io.log_rows(_batch_scored(spark, sf), "ticket_id", latency_ms=0.0, ts=F.lit(LOG_TIME).cast("timestamp")), path)
+    return io.read_log(spark, path).drop("timestamp")
 
 
 def q_batch_score(spark, sf):
     """Classified batch rows (input columns overwritten)."""
-    et = T.embedded_tickets(spark, sf).select("ticket_id", "subject", "description")
-    s = _batch_scored(spark, sf)
-    return io.classified_batch(et, s, "ticket_id")
+    return io.classified_batch(_batch_scored(spark, sf), INPUT)
 
 
 def q_batch_summary(spark, sf):
@@ -278,13 +280,14 @@ def q_batch_summary(spark, sf):
 
 
 def q_validate(spark, sf):
-    return io.validate(T.tickets(spark, sf)).select("ticket_id", "reject_reason")
+    """S4 on tickets with missing, empty and blank subjects."""
+    return io.validate(T.dirty_tickets(spark, sf)).select("ticket_id", "reject_reason")
 
 
 def q_triage(spark, sf):
     """Embedded tickets scored by the three heads, with the top 3
     similar corpus tickets of their serving text."""
-    et = T.embedded_tickets(spark, sf)
+    et, _ = io.split_valid(T.embedded_tickets(spark, sf), features="embedding")
     s = scoring.score(et, "embedding", heads(spark, sf), keep=("ticket_id",))
     q = et.select(F.col("ticket_id").alias("query_id"),
                   serving_text("subject", "description").alias("text"))
@@ -300,8 +303,24 @@ def q_triage(spark, sf):
 
 # -- labels, split, weights (A10, A11, A13, M1, M2) ------------------------------------
 
+def q_triage_log(spark, sf):
+    """The log rows of triage, appended and read back."""
+    return q_prediction_log(spark, sf).select("id", "pred_category", "pred_priority", "pred_sentiment", "confidence", "requires_review", "reviewed")
+
+
+def q_log_lookup(spark, sf):
+    """the log rows of a table of ids (those of the review actions)."""
+    ids = T.review_actions(spark, sf).select(F.col("ticket_id").alias("id")).distinct()
+    return T.predictions(spark, sf).join(ids, "id", "left_semi").select("id", "pred_category", "confidence")
+
+
+def q_preview(spark, sf):
+    """T5: the first five tickets by id."""
+    return io.preview(T.tickets(spark, sf).select("ticket_id", "subject", "category"), "ticket_id")
+
+
 def _label_long(spark, sf):
-    t = T.tickets(spark, sf)
+    t = T.dirty_tickets(spark, sf)
     return t.selectExpr("stack(3, 'category', category, 'priority', priority, "
                         "'sentiment', sentiment) as (target, label)")
 
@@ -321,19 +340,25 @@ def q_metadata(spark, sf):
         .withColumn("label_index", F.col("label_index").cast("long"))
 
 
+def _labelled(spark, sf):
+    """The tickets' ids and labels, stored: the split reads them three times."""
+    return T.tickets(spark, sf).select("ticket_id", *TARGETS).checkpoint()
+
+
 def q_split(spark, sf):
-    t = T.tickets(spark, sf)
-    return split.stratified_split(t.select("ticket_id", "category"), "ticket_id", "category")
+    return split.stratified_split(_labelled(spark, sf).select("ticket_id", "category"), "ticket_id", "category")
 
 
 def q_class_weights(spark, sf):
-    t = split.stratified_split(T.tickets(spark, sf), "ticket_id", "category").where(~F.col("is_test"))
-    parts = [split.class_weights(t, c).select(F.lit(c).alias("target"), "label", "n_c",
-                                              _r("weight")) for c in TARGETS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    t = split.stratified_split(_labelled(spark, sf), "ticket_id", "category").where(~F.col("is_test"))
+    long = t.select(F.inline(F.array(*[F.struct(F.lit(c).alias("target"), F.col(c).alias("label")) for c in TARGETS])))
+    return split.class_weights_long(long).select("target", "label", "n_c", _r("weight"))
+
+
+def q_null_labels(spark, sf):
+    """Rows rejected before a split because a label is missing."""
+    _, rejected = split.reject_null_labels(T.dirty_tickets(spark, sf), *TARGETS)
+    return rejected.select("ticket_id", "reject_reason")
 
 
 # -- metrics (A14-A18, S11, M10) -----------------------------------------------------
@@ -356,9 +381,18 @@ def q_confusion(spark, sf):
     return metrics.confusion(eval_pairs_all(spark, sf))
 
 
+def q_eval_report(spark, sf):
+    """A16 on predictions that are partly wrong and partly of a class that
+    is never true."""
+    return metrics.class_report(T.evaluation_pairs(spark, sf)).select(
+        "target", "label", _r("precision"), _r("recall"), _r("f1"), "support")
+
+
 def _test_split_scored(spark, sf):
-    s = scored_embeddings(spark, sf)
-    return split.stratified_split(s, "vec_id", "category").where(F.col("is_test"))
+    """The held-out rows, scored by heads of the training rows."""
+    rows = split.stratified_split(T.embedding_rows(spark, sf), "vec_id", "category").checkpoint()
+    trained = scoring.load_heads(scoring.centroid_heads(rows.where(~F.col("is_test")), "embedding"))
+    return scoring.score(rows.where(F.col("is_test")), "embedding", trained, keep=("vec_id",) + TARGETS)
 
 
 def q_eval_pairs(spark, sf):
@@ -377,19 +411,40 @@ def q_report(spark, sf):
         S.py_round(F.col("accuracy"), 4).alias("accuracy"), S.py_round(F.col("f1"), 4).alias("f1_macro"))
 
 
-# -- training (M1-M4, E7); rows-only checks (no SQL oracle) ----------------------------
+# -- training (M1-M4, E7) ---------------------------------------------------------
+# Fitted models have no SQL: the queries give the columns that do not depend
+# on the solver, and whether the model fits its training rows better than
+# the majority label does (the test tables' embeddings hold no signal for
+# held-out rows).
+
+def _checked(report):
+    return report.select("target", "train_rows", "test_rows", "n_classes", _r("majority_accuracy"),
+                         (F.col("train_accuracy") > F.col("train_majority")).alias("learned"))
+
 
 def q_train_embedding(spark, sf):
     """M4 / E7 phase 3: three Spark ML heads on the embeddings table."""
-    from ticketlens.operators import training
-    return training.train_embedding_phase(T.embedding_rows(spark, sf), "vec_id", "embedding", TARGETS)
+    return _checked(training.train_embedding_phase(T.embedding_rows(spark, sf), "vec_id", "embedding", TARGETS))
 
 
 def q_train_tfidf(spark, sf):
-    """M3 / E7 phases 1-2: TF-IDF + one-vs-rest LR on the ticket corpus."""
-    from ticketlens.operators import training
-    c, model, w = corpus_index(spark, sf)
-    return training.train_tfidf_phase(c, w, model.vocabulary, model.n_terms, "ticket_id", "category")
+    """M3 / E7 phase 2: TF-IDF and one logistic regression per class."""
+    return _checked(training.train_tfidf_phase(corpus_text(spark, sf), "ticket_id", "text", "category"))
+
+
+def q_phase_report(spark, sf):
+    """The three phases from fitted models: TF-IDF on the tickets
+    with labels, TF-IDF on all tickets, embeddings for three targets."""
+    c = corpus_text(spark, sf)
+    labelled = c.join(T.table(spark, sf, "labels").select(F.col("doc_id").alias("ticket_id")).distinct(), "ticket_id", "left_semi")
+    phases = [("phase1", training.train_tfidf_phase(labelled, "ticket_id", "text", "category")),
+              ("phase2", training.train_tfidf_phase(c, "ticket_id", "text", "category")),
+              ("phase3", training.train_embedding_phase(T.embedding_rows(spark, sf), "vec_id", "embedding", TARGETS))]
+    out = None
+    for name, report in phases:
+        rows = _checked(report).select(F.lit(name).alias("phase"), "*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 REGISTRY = {name: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

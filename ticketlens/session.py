@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 # Settings every job relies on. AQE re-plans joins and coalesces
@@ -29,11 +30,18 @@ DEFAULT_CONF = {
 def get_session(master: str | None = None, app: str = "ticketlens",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
+    """A session with the settings above. A master that spark-submit or the
+    environment names is kept; local runs take ``BENCH_CPUS`` threads and
+    as many shuffle partitions, a cluster Spark's own defaults."""
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf["spark.driver.memory"] = os.environ.get("TICKETLENS_DRIVER_MEMORY", "16g")
+    builder = SparkSession.builder.appName(app)
+    if master or not SparkConf().contains("spark.master"):
+        builder = builder.master(master or f"local[{cpus}]")
+        conf["spark.sql.shuffle.partitions"] = cpus
+        conf["spark.driver.memory"] = os.environ.get("TICKETLENS_DRIVER_MEMORY", "16g")
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -59,7 +67,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="ticketlens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    return ensure_checkpoint_dir(spark)

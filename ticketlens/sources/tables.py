@@ -14,6 +14,8 @@ Deviations from FIXTURES.md, on purpose:
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,28 +33,27 @@ PRIORITY_BY_GROUP = ["High", "Medium", "Low"]          # label % 3
 SENTIMENT_BY_GROUP = ["Negative", "Neutral", "Positive"]  # label // 4
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def version(spark: SparkSession, *paths: str) -> str:
+    """A digest of the names, sizes and times of the tables' files, as the
+    path's own file system gives them: equal as long as the data is."""
+    seen = []
+    for path in paths:
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Text work is CPU-bound per row. When a scan yields fewer splits than
-    the cluster has cores (e.g. one large row group), spread its rows
-    round-robin; at scale the scan already has enough splits and this
-    adds nothing."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tickets(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
+def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents LEFT JOIN labels -> canonical ticket frame (P17: projection
-    and rename). Text jobs
-    that partition by id themselves pass ``spread=False``."""
+    and rename)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    if spread:
-        docs = _spread(docs)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     d = docs.join(labels, "doc_id", "left")
     return d.select(
@@ -105,20 +106,33 @@ def review_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tickets that come with a precomputed sentence embedding: the
-    embeddings table joined to tickets on ``vec_id = ticket_id``.
+    """All tickets with their precomputed sentence embedding, null where
+    there is none: the embeddings table joined on ``vec_id = ticket_id``.
 
-    ``label`` is the embedding's class; the three targets are derived
-    from it so that heads and metrics have true labels to compare with.
+    The three targets are derived from the embedding's class so that heads
+    and metrics have true labels to compare with.
     """
-    emb = table(spark, sf_dir, "embeddings")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ticket_id"), F.col("embedding"), *label_targets(F.col("label")))
     t = tickets(spark, sf_dir).select("ticket_id", "subject", "description")
-    e = emb.select(
-        F.col("vec_id").alias("ticket_id"),
-        F.col("embedding"),
-        *label_targets(F.col("label")),
-    )
-    return e.join(t, "ticket_id", "inner")
+    return t.join(e, "ticket_id", "left")
+
+
+def dirty_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tickets with missing, empty and blank subjects (FIXTURES.md section
+    3), for the row validation; every ninth also has no category."""
+    t, k = tickets(spark, sf_dir), F.col("ticket_id")
+    subject = (F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 11 == 0, "").when(k % 13 == 0, " ").otherwise(F.col("subject")))
+    return t.withColumn("subject", subject).withColumn("category", F.when(k % 9 != 0, F.col("category")))
+
+
+def evaluation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, y, yhat) with wrong and never-true predictions (FIXTURES.md
+    section 3): y is the priority, yhat is Low for every third ticket and
+    Urgent for every fiftieth, else y."""
+    k = F.col("ticket_id")
+    return tickets(spark, sf_dir).select(
+        F.lit("priority").alias("target"), F.col("priority").alias("y"),
+        F.when(k % 3 == 0, "Low").when(k % 50 == 1, "Urgent").otherwise(F.col("priority")).alias("yhat"))
 
 
 def label_targets(label):

@@ -11,14 +11,12 @@ R2  daily counts: the log as a stream -> event-time watermark -> one
 R3  review feed: stateless filter of flagged, unreviewed rows (the
     newest-50 queue stays a batch query over the sink).
 
-Checkpoints go under the session's checkpoint folder unless given.
+A checkpoint must be given: a query that is started again continues only
+from the checkpoint it was started with.
 """
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,16 +24,11 @@ from ticketlens import schemas
 from ticketlens.functions import scalar as S
 from ticketlens.functions.text import serving_text
 from ticketlens.operators import review, scoring
-from ticketlens.session import checkpoint_dir
 from ticketlens.sources import io
 
 DAY = "1 day"
 
 
-def _ckpt(spark: SparkSession, name: str) -> str:
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
-
-
 # -- R2 / R3 over the prediction log --------------------------------------------
 
 def read_log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -58,11 +51,9 @@ def review_feed_stream(log: DataFrame) -> DataFrame:
     return review.open_items(log).select(*review.QUEUE_COLUMNS)
 
 
-def start_append(df: DataFrame, path: str, checkpoint: str | None = None, available_now: bool = True,
-                 name: str = "append"):
-    spark = df.sparkSession
+def start_append(df: DataFrame, path: str, checkpoint: str, available_now: bool = True):
     w = (df.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint or _ckpt(spark, name)))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start(path)
 
@@ -83,11 +74,10 @@ def quarantine_stream(tickets: DataFrame) -> DataFrame:
     return io.validate(tickets).where(F.col("reject_reason").isNotNull())
 
 
-def start_triage(log_rows: DataFrame, path: str, checkpoint: str | None = None,
+def start_triage(log_rows: DataFrame, path: str, checkpoint: str,
                  available_now: bool = True):
     """Replay-safe sink: each micro-batch overwrites its own
     ``batch_id`` partition (dynamic partition overwrite)."""
-    spark = log_rows.sparkSession
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -95,6 +85,6 @@ def start_triage(log_rows: DataFrame, path: str, checkpoint: str | None = None,
          .partitionBy("batch_id").parquet(path))
 
     w = (log_rows.writeStream.foreachBatch(write_batch)
-         .option("checkpointLocation", checkpoint or _ckpt(spark, "triage")))
+         .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
     return w.start()
