@@ -118,10 +118,11 @@ def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     found = cut(paths(docs, window, k, True).join(F.broadcast(anchors) if small else anchors, "anchor").select(
         "anchor", "doc_id", "digest", "at", "n", F.when(F.col("branches"), F.col("hashes")).alias("hashes")))
     whole = found.where("hashes is null").select("doc_id", "digest", "at", "n")
-    single = found.where("hashes is not null").select("anchor", "doc_id", "digest", "at", F.posexplode("hashes").alias("k", "hash"))
+    single = found.where("hashes is not null").select("anchor", "doc_id", "digest", F.inline(
+        F.transform("hashes", lambda h, i: F.struct(h.alias("hash"), (F.col("at") + i).alias("at")))))
     # a table of its own: only then can the join's hot partitions be split
     twice = cut(single.groupBy("anchor", "hash").agg(F.count("*").alias("count")).where("count > 1").select("anchor", "hash"))
-    part = single.join(twice, ["anchor", "hash"]).select("doc_id", "digest", (F.col("at") + F.col("k")).alias("at"), F.lit(1).alias("n"))
+    part = single.join(twice, ["anchor", "hash"]).select("doc_id", "digest", "at", F.lit(1).alias("n"))
     return whole.unionByName(part)
 
 
@@ -130,7 +131,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     joined by one space) of every row."""
     small_batches(docs.sparkSession)
     spans = repeated(docs, window, k).groupBy(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest")).agg(
-        F.collect_list(F.struct("at", "n")).alias("spans"))
+        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("spans"))  # two numbers in one: half the bytes
     own = keyed(docs)
     rows = own.join(spans, own.doc_id.eqNullSafe(F.col("of_id")) & (own.digest == F.col("of_digest")), "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -143,8 +144,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
                 words = WORD.findall(text)
                 n = len(words)
                 if spans.is_valid:
-                    at = spans.values.field("at").to_numpy().astype(np.int64)
-                    end = at + spans.values.field("n").to_numpy() + window - 1
+                    pairs = spans.values.to_numpy()
+                    at = pairs >> 32
+                    end = at + (pairs & 0xFFFFFFFF) + window - 1
                     depth = np.bincount(at, minlength=n + 1) - np.bincount(end, minlength=n + 1)
                     words = [words[i] for i in np.flatnonzero(np.cumsum(depth[:n]) == 0).tolist()]
                 out = " ".join(words)
