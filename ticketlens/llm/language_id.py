@@ -46,15 +46,19 @@ def windows_of(data: bytes) -> np.ndarray:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG) -> list:
-    """(lang, stretch of text) of a bounded number of rows per language.
-    The rank keeps per_lang rows per language and task before its shuffle."""
+    """(lang, stretch of text) of a bounded number of rows per language: the
+    first by a hash, ranked in three rounds that each keep per_lang rows per
+    language and task before their shuffle."""
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(
         F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & F.coalesce(crc_mod("doc_id", FOLDS) != HELD_OUT, F.lit(False)))
     n = F.length("text")
     cuts = [F.substr("text", F.greatest(F.lit(1), (n * F.lit(s)).cast("int")), F.lit(WINDOW)) for s in (0.0, 0.35, 0.7)]
     rows = rows.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.array(*cuts).alias("cuts"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id", "cuts")
-    rows = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
+    # first among few tasks, then among the winners: no task gathers what all others kept
+    for salts in (1024, 32, 1):
+        rows = rows.withColumn("salt", F.spark_partition_id() % salts)
+        first = Window.partitionBy("lang", "salt").orderBy("h", "doc_id", "cuts")
+        rows = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_lang)
     return [(r.lang, c) for r in rows.select("lang", "k", "cuts").orderBy("lang", "k").collect() for c in r.cuts]
 
 
