@@ -2,14 +2,18 @@
 
 The base patterns give spans of kinds assign, access and hex. The method
 adds spans of kind markov: runs of ``MIN_RUN`` or more token characters
-that no base span touches and whose log-likelihood ratio between a model
-of random strings and a model of ordinary words is at least ``MIN_RATIO``.
+that no base span touches, with ``MIN_DIFFERENT`` or more different
+characters (rulers and fillers have few), whose log-likelihood ratio between
+a model of random strings and a model of ordinary words is at least
+``MIN_RATIO`` a character.
 
 Both models are first-order chains over letters, digits and ``+/_=-.``,
-with one added to every count. The labelled samples: ordinary text is all
-text of the corpus outside base spans, random text is all base spans of
-the corpus and ``SYNTHETIC`` strings from a seeded generator over the
-usual alphabets. Each task counts its own pairs of characters and returns
+smoothed by ``BACK_OFF`` counts in the proportions of the single characters
+(one added to each), so rare contexts fall back on those. The labelled samples: ordinary text is all
+text of the corpus outside base spans and ``SYNTHETIC`` identifiers of
+common words in the usual styles, random text is all base spans of the
+corpus and ``SYNTHETIC`` strings over the usual alphabets, both from a
+seeded generator. Each task counts its own pairs of characters and returns
 one row per pair; the driver gets the summed table of fixed size.
 
 Defined cases: a null text is an empty one: no spans, the hash of the
@@ -33,12 +37,19 @@ from ticketlens.llm.common import small_batches, text_or_empty
 
 KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 20
-MIN_RATIO = 12.0
+MIN_RATIO = 2.0
+MIN_DIFFERENT = 8
+BACK_OFF = 20.0
 SEED, SYNTHETIC = 9, 4000
 MASK = "[SECRET]"
 
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
 N = len(SYMBOLS) + 1  # the last stands for everything else, and so for a word's start
+IDENTIFIER_WORDS = (
+    "get set user account name value list count index time date file path size type node data item key map read write open close "
+    "start stop first last next total number error message result order balance session request response server client handler "
+    "config option default update create delete find search load save check test event state buffer queue table column row page link "
+    "source target parent child group label title image color width height left right long short some is has with for from")
 ALPHABETS = ("0123456789abcdef", "0123456789ABCDEF", SYMBOLS[:62], SYMBOLS[:62] + "+/", SYMBOLS[:62] + "-_", SYMBOLS[:26] + SYMBOLS[52:62], SYMBOLS[26:62])
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -80,12 +91,23 @@ def synthetic(seed: int = SEED, count: int = SYNTHETIC) -> list[str]:
     return ["".join(rng.choices(ALPHABETS[k % len(ALPHABETS)], k=rng.randrange(20, 65))) for k in range(count)]
 
 
+def identifiers(seed: int = SEED, count: int = SYNTHETIC) -> list[str]:
+    """Ordinary identifiers: words in the usual styles, some numbered."""
+    rng, out = random.Random(seed), []
+    for k in range(count):
+        words = rng.choices(IDENTIFIER_WORDS.split(), k=rng.randrange(2, 6))
+        out.append((words[0] + "".join(w.capitalize() for w in words[1:]), "_".join(words), "-".join(words),
+                    "_".join(words).upper(), "/".join(words), "".join(w.capitalize() for w in words))[k % 6] + ("", "", "", str(rng.randrange(100)))[k % 4])
+    return out
+
+
 def ratio_table(random_n: np.ndarray, ordinary_n: np.ndarray) -> np.ndarray:
     """Log-likelihood ratio of each pair of characters."""
     logs = []
     for n in (random_n, ordinary_n):
-        n = n[:, :N - 1].astype(float) + 1.0
-        logs.append(np.log(n / n.sum(axis=1, keepdims=True)))
+        n = n[:, :N - 1].astype(float)
+        single = (n.sum(axis=0) + 1) / (n.sum() + N - 1)
+        logs.append(np.log((n + BACK_OFF * single) / (n.sum(axis=1, keepdims=True) + BACK_OFF)))
     return logs[0] - logs[1]
 
 
@@ -115,7 +137,7 @@ def train(docs: DataFrame) -> np.ndarray:
     for r in rows:
         total[r.pair] = r.n
     total = total.reshape(2, N, N)
-    return ratio_table(total[0] + pair_counts(synthetic()), total[1])
+    return ratio_table(total[0] + pair_counts(synthetic()), total[1] + pair_counts(identifiers()))
 
 
 def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
@@ -126,7 +148,7 @@ def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
         if any(s < b and a < e for s, _, e in base):
             continue
         s = CODE[np.frombuffer((" " + text[a:b]).encode("ascii"), dtype=np.uint8)]
-        if table[s[:-1], s[1:]].sum() >= MIN_RATIO:
+        if len(set(text[a:b])) >= MIN_DIFFERENT and table[s[:-1], s[1:]].mean() >= MIN_RATIO:
             added.append((a, 3, b))
     return base, sorted(base + added)
 
