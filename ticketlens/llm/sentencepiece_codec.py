@@ -45,11 +45,11 @@ SPACE = "▁"
 UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONG = 256
 #: Characters of distinct units that are indexed at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Characters of texts whose units are told apart at once.
 GROUP = 1 << 22
 #: Rows of an Arrow batch: many, as units recur.
-ROWS = 4096
+ROWS = 2048
 
 
 class Pieces:
