@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ticketlens.llm import fingerprint as P
 from ticketlens.llm import mixing as M
@@ -189,6 +190,36 @@ def test_large_group_of_near_copies(spark):
     assert {r.class_id for r in got} == {0}
 
 
+def test_large_group_at_the_limit_matches_brute_force(spark):
+    """Hundreds of independently edited copies whose similarities scatter
+    around the limit: the classes are the components of all links."""
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(10 ** 6)}" for _ in range(400)]
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for at in rng.sample(range(400), rng.randrange(4, 7)):
+            words[at] = f"n{k}x{at}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    factors = N.frequencies(N.keyed(df))
+    hashes = [r.w for r in df.select(N.word_hashes(F.col("text")).alias("w")).orderBy("doc_id").collect()]
+    bags = []
+    for h in hashes:
+        _, values, counts = N.shingles(np.asarray(h, dtype=np.int64).view(np.uint64), np.array([len(h)]))
+        bags.append((values, N.weigh(values, counts, factors)))
+    near = np.array([[i != j and N.weighted_jaccard(bags[i], bags[j]) >= N.SIMILARITY for j in range(300)] for i in range(300)])
+    assert 0 < near.sum() < 300 * 299
+    label = list(range(300))
+    while True:
+        least = [min([label[i]] + [label[j] for j in np.flatnonzero(near[i])]) for i in range(300)]
+        if least == label:
+            break
+        label = least
+    assert len(set(label)) < 300
+    assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == dict(enumerate(label))
+
+
 MIXED = ("doc_id", "size", "source_size", "target", "taken")
 
 
