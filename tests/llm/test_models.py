@@ -156,6 +156,21 @@ def test_markov_on_held_out_strings(documents):
     assert sum(map(flagged, keys)) >= 195 and sum(map(flagged, names)) <= 2
 
 
+def test_markov_finds_keys_behind_ordinary_characters(documents):
+    table = S.train(documents)
+    rng = random.Random(98)
+    for before in ("aws_secret_access_key=", "/from/onward/the/inner/lately/", "onward-inner-from-", "from_lately_onward_inner_stern_from="):
+        hits = 0
+        for _ in range(50):
+            key = "".join(rng.choices(B64, k=24))
+            spans = S.all_spans(f"x {before}{key} y", table)[1]
+            hits += any(a <= 2 + len(before) and 26 + len(before) <= b for a, _, b in spans)
+        assert hits >= 48, before
+    for _ in range(200):
+        words = rng.choices(["the", "onward", "inner", "lately", "stern", "from"], k=9)
+        assert S.all_spans(rng.choice("/_-=").join(words), table)[1] == []
+
+
 def test_redaction_and_odd_tables(spark, documents, clashing, empty):
     df, texts = secrets_table(spark)
     got = {r.doc_id: r.text for r in S.redact_secrets(df, S.train(documents)).collect()}

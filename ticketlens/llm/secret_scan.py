@@ -5,7 +5,9 @@ adds spans of kind markov: runs of ``MIN_RUN`` or more token characters
 that no base span touches, with ``MIN_DIFFERENT`` or more different
 characters (rulers and fillers have few), whose log-likelihood ratio between
 a model of random strings and a model of ordinary words is at least
-``MIN_RATIO`` a character.
+``MIN_RATIO`` a character. Of a run that has less as a whole, the parts
+between separators and the best segments are judged alike, so ordinary
+characters beside a secret do not hide it.
 
 Both models are first-order chains over letters, digits and ``+/_=-.``,
 smoothed by ``BACK_OFF`` counts in the proportions of the single characters
@@ -39,6 +41,8 @@ KINDS = ("assign", "access", "hex", "markov")
 MIN_RUN = 20
 MIN_RATIO = 2.0
 MIN_DIFFERENT = 8
+MIDDLE = 1.2  # a character, between ordinary and random text
+SEPARATORS = "=/_-"
 BACK_OFF = 20.0
 SEED, SYNTHETIC = 9, 4000
 MASK = "[SECRET]"
@@ -56,6 +60,7 @@ ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\
 # A run of 24 or more is found whole: it begins where it can first begin and takes all it can.
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
+PART = re.compile(r"[^%s]{%d,}" % (SEPARATORS, MIN_RUN))
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_RUN)
 
 CODE = np.full(256, N - 1, dtype=np.int64)
@@ -140,6 +145,58 @@ def train(docs: DataFrame) -> np.ndarray:
     return ratio_table(total[0] + pair_counts(synthetic()), total[1] + pair_counts(identifiers()))
 
 
+def ratios(table: np.ndarray, run: str) -> np.ndarray:
+    s = CODE[np.frombuffer((" " + run).encode("ascii"), dtype=np.uint8)]
+    return table[s[:-1], s[1:]]
+
+
+def random_like(table: np.ndarray, run: str) -> bool:
+    return len(run) >= MIN_RUN and len(set(run)) >= MIN_DIFFERENT and ratios(table, run).mean() >= MIN_RATIO
+
+
+def segments(scores: list) -> list[tuple[int, int]]:
+    """All maximal-scoring segments (Ruzzo and Tompa): (start, end)."""
+    out, total = [], 0.0  # (start, end, sum before, sum after)
+    for k, x in enumerate(scores):
+        before, total = total, total + x
+        if x <= 0:
+            continue
+        start = k
+        while True:
+            j = len(out) - 1
+            while j >= 0 and out[j][2] >= before:
+                j -= 1
+            if j < 0 or out[j][3] >= total:
+                break
+            start, before = out[j][0], out[j][2]
+            del out[j:]
+        out.append((start, k + 1, before, total))
+    return [x[:2] for x in out]
+
+
+def random_parts(table: np.ndarray, run: str) -> list[tuple[int, int]]:
+    """(start, end) of the random stretches of a run: the whole run, or else
+    its parts between separators and its maximal-scoring segments (of the
+    ratio less ``MIDDLE`` a character), widened to the next separators."""
+    if random_like(table, run):
+        return [(0, len(run))]
+    found = [m.span() for m in PART.finditer(run) if random_like(table, m[0])]
+    score = ratios(table, run) - MIDDLE
+    if score[score > 0].sum() >= MIN_RUN * (MIN_RATIO - MIDDLE):
+        for a, b in segments(score.tolist()):
+            left = max(run.rfind(c, 0, a) for c in SEPARATORS) + 1
+            right = min((k for k in (run.find(c, b) for c in SEPARATORS) if k >= 0), default=len(run))
+            if random_like(table, run[a:b]) or random_like(table, run[left:right]):
+                found.append((left, right))
+    out = []
+    for a, b in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
     """(base spans, base and markov spans), as (start, kind number, end)."""
     base, runs = base_spans(text)
@@ -147,9 +204,7 @@ def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
     for a, b in runs:
         if any(s < b and a < e for s, _, e in base):
             continue
-        s = CODE[np.frombuffer((" " + text[a:b]).encode("ascii"), dtype=np.uint8)]
-        if len(set(text[a:b])) >= MIN_DIFFERENT and table[s[:-1], s[1:]].mean() >= MIN_RATIO:
-            added.append((a, 3, b))
+        added += [(a + p, 3, a + q) for p, q in random_parts(table, text[a:b])]
     return base, sorted(base + added)
 
 
