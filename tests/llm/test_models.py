@@ -171,6 +171,16 @@ def test_markov_finds_keys_behind_ordinary_characters(documents):
         assert S.all_spans(rng.choice("/_-=").join(words), table)[1] == []
 
 
+def test_markov_judges_what_base_spans_leave_of_a_run(documents):
+    table = S.train(documents)
+    rng = random.Random(97)
+    key = "".join(rng.choices(B64, k=40))
+    access = "AKIA" + "".join(rng.choices(string.ascii_uppercase + string.digits, k=16))
+    for text in (f"x {access}/{key} y", f"x {key}_token=abcdef y"):
+        at = text.index(key)
+        assert any(k == 3 and a <= at and at + 40 <= b for a, k, b in S.all_spans(text, table)[1]), text
+
+
 def test_redaction_and_odd_tables(spark, documents, clashing, empty):
     df, texts = secrets_table(spark)
     got = {r.doc_id: r.text for r in S.redact_secrets(df, S.train(documents)).collect()}

@@ -2,7 +2,7 @@
 
 The base patterns give spans of kinds assign, access and hex. The method
 adds spans of kind markov: runs of ``MIN_RUN`` or more token characters
-that no base span touches, with ``MIN_DIFFERENT`` or more different
+outside base spans (what these leave of a run is judged by itself), with ``MIN_DIFFERENT`` or more different
 characters (rulers and fillers have few), whose log-likelihood ratio between
 a model of random strings and a model of ordinary words is at least
 ``MIN_RATIO`` a character. Of a run that has less as a whole, the parts
@@ -202,9 +202,10 @@ def all_spans(text: str, table: np.ndarray) -> tuple[list, list]:
     base, runs = base_spans(text)
     added = []
     for a, b in runs:
-        if any(s < b and a < e for s, _, e in base):
-            continue
-        added += [(a + p, 3, a + q) for p, q in random_parts(table, text[a:b])]
+        for s, e in [(s, e) for s, _, e in base if s < b and a < e] + [(b, b)]:
+            if s > a:
+                added += [(a + p, 3, a + q) for p, q in random_parts(table, text[a:s])]
+            a = max(a, e)
     return base, sorted(base + added)
 
 
