@@ -3,6 +3,8 @@ express the operator. The SQL follows the contracts, not the Spark code."""
 
 from __future__ import annotations
 
+from ticketlens.llm import centroid_clustering as CC
+from ticketlens.llm import hard_negatives as HN
 from ticketlens.llm import quality_rules as Q
 from ticketlens.llm import substring_dedup as SD
 from ticketlens.llm import url_filter as U
@@ -106,5 +108,41 @@ SELECT doc_id, n_words, n_chars - c_space AS word_chars, n_symbols, dup AS n_dup
     ({above("word_js", "n_words", Q.WORD_LIMITS)} OR {above("class_js", "n_chars", Q.CLASS_LIMITS)})) AS kept FROM f"""
 
 
+def op11() -> str:
+    """Rounds are chained tables; distances are taken from components, not
+    from dot products."""
+    parts = [f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding,
+    lambda e: CAST(floor(greatest(-{float(CC.LIMIT)!r}::DOUBLE, least({float(CC.LIMIT)!r}::DOUBLE, CAST(e AS DOUBLE) * {CC.SCALE}))) AS BIGINT)) AS x
+    FROM embeddings WHERE len(embedding) = {CC.DIMENSIONS} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {CC.DIMENSIONS}),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('{CC.SEED}:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS INTEGER) AS c, x FROM v
+    QUALIFY c < {CC.CLUSTERS}),"""]
+    near = """d{k} AS (SELECT rid, vec_id, v.x, c, list_sum(list_transform(list_zip(v.x, t.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{k} t),
+a{k} AS MATERIALIZED (SELECT rid, vec_id, x, c, d FROM d{k} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1),"""
+    for k in range(CC.ROUNDS):
+        parts.append(near.format(k=k) + f"""
+m{k} AS (SELECT c, i, CAST(floor(sum(CAST(e AS HUGEINT)) / count(*)) AS BIGINT) AS e FROM (SELECT c, unnest(x) AS e, unnest(range({CC.DIMENSIONS})) AS i FROM a{k}) GROUP BY 1, 2),
+c{k + 1} AS MATERIALIZED (SELECT c, coalesce(n.x, o.x) AS x FROM c{k} o LEFT JOIN (SELECT c, list(e ORDER BY i) AS x FROM m{k} GROUP BY 1) n USING (c)),""")
+    parts.append(near.format(k=CC.ROUNDS) + f"""
+h AS (SELECT c, sha256(array_to_string(x, ',')) AS digest FROM c{CC.ROUNDS})
+SELECT vec_id, c AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, digest AS centroid_sha256 FROM a{CC.ROUNDS} JOIN h USING (c)""")
+    return "\n".join(parts)
+
+
+def op12() -> str:
+    return f"""WITH r AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda e: CAST(floor(greatest(-{float(HN.LIMIT)!r}::DOUBLE, least({float(HN.LIMIT)!r}::DOUBLE, CAST(e AS DOUBLE) * {HN.SCALE}))) AS BIGINT)) AS x
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = len(embedding)),
+s AS MATERIALIZED (SELECT a.rid AS a, a.vec_id AS anchor_id, b.rid AS b, b.vec_id, a.label = b.label AS same,
+    CAST(coalesce(list_sum(list_transform(list_zip(a.x, b.x), lambda p: coalesce(p[1] * p[2], 0))), 0) AS BIGINT) AS score
+    FROM r a JOIN r b ON a.rid <> b.rid WHERE a.vec_id % {HN.EVERY} = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST, b) <= {HN.POSITIVES}),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.vec_id NULLS LAST, s.b) AS INTEGER) AS rank
+    FROM p JOIN s ON s.a = p.a AND NOT s.same AND {HN.SHARE} * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= {HN.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": op2(), "op3_substring_dedup": op3(), "op4_quality_rules": op4()}
+    return {"op2_url_filter": op2(), "op3_substring_dedup": op3(), "op4_quality_rules": op4(),
+            "op11_centroid_clustering": op11(), "op12_hard_negatives": op12()}
