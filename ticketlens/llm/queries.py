@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ticketlens.llm import centroid_clustering, fingerprint, hard_negatives, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, url_filter
+from ticketlens.llm import centroid_clustering, fingerprint, hard_negatives, language_id, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, substring_dedup, toxicity, url_filter
 from ticketlens.llm.common import table
 
 
@@ -63,6 +63,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 REGISTRY = {f.__name__: f for f in (
     op1_sentencepiece, op2_url_filter, op3_substring_dedup, op4_quality_rules, op5_language_id, op6_quality_classifier, op7_near_dedup, op8_mixing,
-    op9_secret_scan, op10_fingerprint, op11_centroid_clustering, op12_hard_negatives)} | {"pipeline": corpus_pipeline.run}
+    op9_secret_scan, op10_fingerprint, op11_centroid_clustering, op12_hard_negatives, op13_toxicity)} | {"pipeline": corpus_pipeline.run}
