@@ -46,6 +46,24 @@ def test_encoder_on_random_texts(texts):
     assert encoded(texts) == [list(x) for x in own.encode(texts)]
 
 
+def test_encoder_on_unbroken_texts(library):
+    rng = random.Random(8)
+    letters = "".join(rng.choices(["the", "ing", "qu", "x", "er", "an", "Z", "é"], k=400_000))  # one unit, several stretches of the index
+    no_spaces = "".join(rng.choices("的一是不了人我在有他这为之大来以个中上们", k=60_000))
+    texts = [letters, no_spaces, "ab " * 3]
+    assert len(letters) > 2 * S.CHUNK and encoded(texts) == [list(x) for x in library.encode(texts)]
+
+
+def test_met_units_give_the_same_ids(library, corpus):
+    texts = [r[1] or "" for r in corpus]
+    met, pieces = S.Met(), S.load(S.MODEL)
+    for part in (texts[:40], texts[20:90], texts):  # most units are met already
+        ids, sizes = S.encode_texts(part, pieces, met)
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:])] == [list(x) for x in library.encode(part)]
+    assert len(met.number) == len({u for t in texts if t for u in S.UNIT.findall(S.SPACE + t.replace(" ", S.SPACE))})
+
+
 def test_codec_round_trip_and_odd_rows(documents, empty, corpus):
     rows = S.decode(S.encode(documents)).collect()
     assert len(rows) == len(corpus)
