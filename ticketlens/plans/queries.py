@@ -44,11 +44,15 @@ def corpus_index(spark, sf):
     is written once per version of its tables, into the session's shared
     folder, and read back by every query, as the reference loads its
     index at start-up."""
+    return tfidf.load(spark, _index_path(spark, sf))
+
+
+def _index_path(spark, sf) -> str:
     version = T.version(spark, f"{sf}/documents.parquet", f"{sf}/labels.parquet")
     path = f"{ensure_checkpoint_dir(spark)}/tfidf-index-{version}"
     if not io.path_exists(spark, f"{path}/meta/_SUCCESS"):
         tfidf.store(corpus_text(spark, sf), "ticket_id", "text", path)
-    return tfidf.load(spark, path)
+    return path
 
 
 def query_text(spark, sf):
@@ -216,7 +220,7 @@ def similar_for(spark, sf, queries: DataFrame, qid: str, text: str, k: int):
     model, cw = corpus_index(spark, sf)
     qw = tfidf.transform(queries, qid, text, model)
     t = T.tickets(spark, sf).select(F.col("ticket_id").alias("id"), "subject", "category")
-    top = knn.similar_topk(queries.select(F.col(qid).alias("id")), qw, t.select("id"), cw, k)
+    top = knn.similar_topk(queries.select(F.col(qid).alias("id")), qw, t.select("id"), cw, k, blocks=tfidf.load_blocks(spark, _index_path(spark, sf)))
     return top.join(t, "id", "inner").select(
         F.col("query_id"), F.col("rank").cast("long").alias("rank"), F.col("id").alias("ticket_id"),
         "subject", "category",

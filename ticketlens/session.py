@@ -51,6 +51,13 @@ def get_session(master: str | None = None, app: str = "ticketlens",
     return spark
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024, megabytes: int = 16) -> None:
+    """Bounds the Arrow batches that the next jobs send to Python workers, by
+    rows and by bytes: a text may be very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder. It is set once: from
     ``spark.checkpoint.dir`` where the cluster names one; a local session
