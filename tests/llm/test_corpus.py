@@ -360,3 +360,58 @@ def test_pipeline_stages(spark, clashing, labels, monkeypatch, tmp_path):
     assert len(ids["near_duplicates"] & set(range(96, 106))) == 1 and 207 not in ids["near_duplicates"]
     assert ids["secrets"] == ids["near_duplicates"] >= ids["mix"] == ids["encode"]
     assert len(seen["encode"]) == len(seen["mix"]) and max(Counter(r.doc_id for r in seen["mix"]).values()) <= 2
+
+
+def test_similarities_by_pairs_and_by_matrix_agree():
+    rng = np.random.default_rng(6)
+    factors = (1 + rng.random(2 * N.WIDTH)).astype(np.float32)
+    pool = rng.integers(0, 2 ** 32, 60)
+    texts = [np.sort(rng.choice(pool, rng.integers(0, 90))).astype(np.uint32) for _ in range(30)] + [np.zeros(0, dtype=np.uint32)]
+    bags = [t.tobytes() for t in texts]
+    whole = N.all_similarities(bags, bags, factors)
+    for i, a in enumerate(texts):
+        pairs = N.similarities([bags[i]] * len(bags), bags, factors)
+        assert pairs == pytest.approx(whole[i])
+        for j, b in enumerate(texts):
+            (va, ca), (vb, cb) = (np.unique(t.astype(np.uint64) << np.uint64(32), return_counts=True) for t in (a, b))
+            assert N.weighted_jaccard((va, N.weigh(va, ca, factors)), (vb, N.weigh(vb, cb, factors))) == pytest.approx(whole[i, j], rel=1e-5)
+
+
+def scattered(n, seed, edits=(4, 7), words=400):
+    """Copies with edits of their own: similarities scatter around 0.8."""
+    rng = random.Random(seed)
+    base = [f"v{rng.randrange(10 ** 6)}" for _ in range(words)]
+    out = []
+    for k in range(n):
+        text = list(base)
+        for at in rng.sample(range(words), rng.randrange(*edits)):
+            text[at] = f"n{k}x{at}"
+        out.append(" ".join(text))
+    return out
+
+
+def test_more_texts_than_columns(spark, monkeypatch):
+    """Where a band has more texts outside its largest class than columns,
+    rounds find nearly all links, and the exact way all."""
+    texts = scattered(90, 13)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.class_id for r in N.classes(df).collect()}
+    monkeypatch.setattr(N, "COLUMNS", 12)
+    exact = {r.doc_id: r.class_id for r in N.classes(df, exact=True).collect()}
+    assert exact == whole and 1 < len(set(whole.values())) < 90
+    rounds = {r.doc_id: r.class_id for r in N.classes(df).collect()}
+    assert sum(rounds[k] == whole[k] for k in whole) >= 0.9 * len(whole)
+
+
+def test_pairs_grow_with_a_group_not_with_its_square(spark):
+    """Copies below the limit stay apart, and their candidates are linear."""
+    made = []
+    for n in (100, 400):
+        df = spark.createDataFrame(list(enumerate(scattered(n, 17, (9, 10)))), "doc_id long, text string")
+        factors = spark.sparkContext.broadcast(N.frequencies(N.keyed(df)))
+        signed = N.signatures(df, factors)
+        found = N.members(signed.select("md", "bands", "marks", "size"))
+        made.append(N.candidates(found).count())
+        if n == 100:
+            assert len({r.class_id for r in N.classes(df).collect()}) > 50
+    assert made[1] < 8 * made[0] + 400
