@@ -10,7 +10,9 @@ from ticketlens import schemas
 from ticketlens.operators import analytics as A
 from ticketlens.operators import review, scoring
 from ticketlens.plans import queries as Q
+from ticketlens.sources import io
 from ticketlens.sources import tables as T
+from ticketlens.sources.commit_log import CommitLog
 from ticketlens.streaming import triage as ST
 
 SF = "/root/testdata/sf0.001"
@@ -139,3 +141,44 @@ def test_triage_restart_with_more_files_equals_batch(spark):
     want = {r.ticket_id: r.pred_category for r in scoring.score(et, "embedding", heads, keep=("ticket_id",)).collect()}
     rows = spark.read.parquet(out).collect()
     assert len(rows) == len(want) and {r.id: r.pred_category for r in rows} == want
+
+
+def test_stream_log_and_quarantine_are_all_tickets(spark):
+    """Tickets without features or text are quarantined, and the log's rows
+    are those of the batch."""
+    base = _tmp()
+    src = os.path.join(base, "in")
+    et = T.embedded_tickets(spark, SF).withColumn("subject", F.when(F.col("ticket_id") % 11 == 0, "").otherwise(F.col("subject"))).withColumn(
+        "embedding", F.when(F.col("ticket_id") % 13 != 0, F.col("embedding")))
+    et.repartition(3, "ticket_id").write.parquet(src)
+    heads = Q.heads(spark, SF)
+    tickets = lambda: spark.readStream.schema(et.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    log = CommitLog(spark, os.path.join(base, "log"))
+    ST.start_committed(ST.triage_stream(tickets(), heads), log, os.path.join(base, "ck")).awaitTermination(300)
+    ST.start_append(ST.quarantine_stream(tickets()).select("ticket_id", "reject_reason"), os.path.join(base, "bad"), os.path.join(base, "ck2")).awaitTermination(300)
+    rows, bad = log.read().collect(), spark.read.parquet(os.path.join(base, "bad")).collect()
+    assert len(rows) + len(bad) == et.count() and {r.reject_reason for r in bad} == {"subject_empty", "embedding_missing"}
+    assert {r.id for r in rows} | {r.ticket_id for r in bad} == {r.ticket_id for r in et.collect()}
+    assert all(r.pred_category is not None and r.confidence is not None for r in rows)
+    valid, _ = io.split_valid(et, features="embedding")
+    want = {r.ticket_id: (r.pred_category, r.confidence) for r in scoring.score(valid, "embedding", heads, keep=("ticket_id",)).collect()}
+    assert {r.id: (r.pred_category, r.confidence) for r in rows} == want
+
+
+def test_replayed_stream_writes_the_same_log(spark):
+    """The stream loses its checkpoint after it has committed: the batches
+    come again under the same ids and are skipped; times are data."""
+    base = _tmp()
+    src = os.path.join(base, "in")
+    et = T.embedded_tickets(spark, SF).where("embedding is not null").withColumn("timestamp", F.lit("2025-03-04 05:06:07").cast("timestamp"))
+    et.repartition(3, "ticket_id").write.parquet(src)
+    heads, log = Q.heads(spark, SF), CommitLog(spark, os.path.join(base, "log"))
+
+    def start(checkpoint):
+        stream = spark.readStream.schema(et.schema).option("maxFilesPerTrigger", 1).parquet(src)
+        ST.start_committed(ST.triage_stream(stream, heads), log, os.path.join(base, checkpoint)).awaitTermination(300)
+        return sorted(tuple(r) for r in log.read().collect())
+
+    first = start("ck")
+    assert len(log.batches()) == 3 and start("fresh") == first and len(first) == et.count()
+    assert {r[10].isoformat() for r in first} == {"2025-03-04T05:06:07"}

@@ -497,8 +497,10 @@ SELECT ticket_id, CASE WHEN subject IS NULL THEN 'subject_missing' WHEN length(s
 FROM tickets t LEFT JOIN embeddings e ON e.vec_id = t.ticket_id
 WHERE e.vec_id IS NULL OR coalesce(length(subject), 0) < 1 OR coalesce(length(description), 0) < 1"""
 
-SQL["q_triage_log"] = _with(TICKETS, EMB, _BATCH) + """
-SELECT ticket_id AS id, pred_category, pred_priority, pred_sentiment, confidence, requires_review, false AS reviewed FROM bt"""
+SQL["q_triage_log"] = _with(*TFIDF, EMB, _TRIAGE_Q, _terms("tq", "query_id"), _weights("tq", "query_id"), _topk_sql("tq")) + """
+, nearest AS (SELECT query_id, string_agg(ticket_id || '=' || printf('%.4f', score), ',' ORDER BY rank) AS similar_tickets FROM topk GROUP BY 1)
+SELECT s.vec_id AS id, s.pred_category, s.pred_priority, s.pred_sentiment, s.confidence, s.requires_review, false AS reviewed, k.similar_tickets
+FROM scored_emb s JOIN nearest k ON s.vec_id = k.query_id"""
 
 SQL["q_log_lookup"] = _with(LOG) + """
 SELECT id, pred_category, confidence FROM preds WHERE id IN (SELECT ticket_id FROM actions)"""

@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketlens import schemas
 from ticketlens.functions import scalar as S
 from ticketlens.functions.prompts import user_prompt
 from ticketlens.functions.text import ngrams, serving_text, tokens, training_text
@@ -20,6 +21,7 @@ from ticketlens.operators import knn, metrics, review, scoring, split, tfidf, tr
 from ticketlens.session import ensure_checkpoint_dir
 from ticketlens.sources import io
 from ticketlens.sources import tables as T
+from ticketlens.sources.commit_log import CommitLog
 
 SIMILAR_K = 3
 LOG_TIME = "2025-01-01 00:00:00"  # of the log rows that the queries write
@@ -264,13 +266,19 @@ def q_quarantine(spark, sf):
     return rejected.select("ticket_id", "reject_reason")
 
 
+def _new_log(spark, schema=schemas.PREDICTIONS) -> CommitLog:
+    return CommitLog(spark, f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}", schema)
+
+
 def q_prediction_log(spark, sf):
     """The log rows of a scored batch (caller-given ids, latency
-    and time as data), appended to a new log and read back from it."""
-    path = f"{ensure_checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
-    io.create_log(spark, path)
-    io.append_log(io.log_rows(_batch_scored(spark, sf), "ticket_id", latency_ms=0.0, ts=F.lit(LOG_TIME).cast("timestamp")), path)
-    return io.read_log(spark, path).drop("timestamp")
+    and time as data), appended to a new log and read back from it. The
+    batch is given twice, as by a rerun job; it is there once."""
+    log = _new_log(spark)
+    rows = io.log_rows(_batch_scored(spark, sf), "ticket_id", latency_ms=0.0, ts=F.lit(LOG_TIME).cast("timestamp"))
+    for _ in range(2):
+        log.append(rows, "batch")
+    return log.read().drop("timestamp", "day")
 
 
 def q_batch_score(spark, sf):
@@ -288,29 +296,42 @@ def q_validate(spark, sf):
     return io.validate(T.dirty_tickets(spark, sf)).select("ticket_id", "reject_reason")
 
 
-def q_triage(spark, sf):
-    """Embedded tickets scored by the three heads, with the top 3
-    similar corpus tickets of their serving text."""
+def _triaged(spark, sf):
+    """(scored tickets, their top 3 similar corpus tickets by rank)."""
     et, _ = io.split_valid(T.embedded_tickets(spark, sf), features="embedding")
-    s = scoring.score(et, "embedding", heads(spark, sf), keep=("ticket_id",))
+    s = scoring.score(et, "embedding", heads(spark, sf), keep=INPUT)
     q = et.select(F.col("ticket_id").alias("query_id"),
                   serving_text("subject", "description").alias("text"))
     sim = similar_for(spark, sf, q, "query_id", "text", SIMILAR_K)
-    sim = sim.select(F.col("query_id").alias("ticket_id"), F.col("rank").alias("similar_rank"),
-                     F.col("ticket_id").alias("similar_id"), F.col("subject").alias("similar_subject"),
-                     F.col("category").alias("similar_category"), F.col("score").alias("similar_score"))
+    return s, sim.select(F.col("query_id").alias("ticket_id"), F.col("rank").alias("similar_rank"),
+                         F.col("ticket_id").alias("similar_id"), F.col("subject").alias("similar_subject"),
+                         F.col("category").alias("similar_category"), F.col("score").alias("similar_score"))
+
+
+def q_triage(spark, sf):
+    """Embedded tickets scored by the three heads, with the top 3
+    similar corpus tickets of their serving text."""
+    s, sim = _triaged(spark, sf)
     return s.join(sim, "ticket_id", "inner").select(
         "ticket_id", "pred_category", "pred_priority", "pred_sentiment", "confidence",
         "requires_review", "similar_rank", "similar_id", "similar_subject", "similar_category",
         "similar_score")
 
 
-# -- labels, split, weights (A10, A11, A13, M1, M2) ------------------------------------
-
 def q_triage_log(spark, sf):
-    """The log rows of triage, appended and read back."""
-    return q_prediction_log(spark, sf).select("id", "pred_category", "pred_priority", "pred_sentiment", "confidence", "requires_review", "reviewed")
+    """Triage that logs: the scored tickets with their similar tickets,
+    appended as one batch of a new log and read back."""
+    s, sim = _triaged(spark, sf)
+    lists = sim.groupBy("ticket_id").agg(F.array_sort(F.collect_list(F.struct("similar_rank", "similar_id", "similar_score"))).alias("similar"))
+    log = _new_log(spark, schemas.TRIAGE)
+    rows = io.log_rows(s, "ticket_id", latency_ms=0.0, ts=F.lit(LOG_TIME).cast("timestamp"))
+    log.append(rows.join(lists.withColumnRenamed("ticket_id", "id"), "id", "left"), "batch")
+    text = F.transform("similar", lambda e: F.concat(e.similar_id.cast("string"), F.lit("="), F.format_string("%.4f", e.similar_score)))
+    return log.read().select("id", "pred_category", "pred_priority", "pred_sentiment", "confidence", "requires_review", "reviewed",
+                             F.array_join(text, ",").alias("similar_tickets"))
+
 
+# -- labels, split, weights (A10, A11, A13, M1, M2) ------------------------------------
 
 def q_log_lookup(spark, sf):
     """the log rows of a table of ids (those of the review actions)."""

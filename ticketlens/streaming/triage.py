@@ -1,10 +1,13 @@
 """Streaming jobs.
 
 R1  triage: new ticket files -> validation, serving text, the three
-    linear heads (stateless) -> prediction-log rows, written per
-    micro-batch into a ``batch_id`` partition with dynamic overwrite, so
-    a replayed batch rewrites its own partition instead of appending
-    twice.
+    linear heads (stateless) -> prediction-log rows. A micro-batch is one
+    batch of the exactly-once log (``start_committed``), or goes into a
+    ``batch_id`` partition with dynamic overwrite (``start_triage``); either
+    way a replayed batch is never there twice. Tickets without text or
+    features go to the quarantine stream, so log and quarantine together
+    are all tickets. The log's time is the tickets' own where they have
+    one, so a replay writes the same rows.
 R2  daily counts: the log as a stream -> event-time watermark -> one
     day tumbling windows -> append mode; a day is emitted once the
     watermark passes its end, rows later than the watermark are dropped.
@@ -25,6 +28,7 @@ from ticketlens.functions import scalar as S
 from ticketlens.functions.text import serving_text
 from ticketlens.operators import review, scoring
 from ticketlens.sources import io
+from ticketlens.sources.commit_log import CommitLog
 
 DAY = "1 day"
 
@@ -61,17 +65,30 @@ def start_append(df: DataFrame, path: str, checkpoint: str, available_now: bool
 # -- R1: streaming triage -----------------------------------------------------
 
 def triage_stream(tickets: DataFrame, heads: dict, features: str = "embedding",
-                  id_col: str = "ticket_id") -> DataFrame:
+                  id_col: str = "ticket_id", time_col: str = "timestamp") -> DataFrame:
     """Stateless scoring of a ticket stream into log rows. Invalid
     rows are dropped here and reported by ``quarantine_stream``."""
-    valid = io.validate(tickets).where(F.col("reject_reason").isNull())
+    valid = io.validate(tickets, features=features).where(F.col("reject_reason").isNull())
+    own_time = [time_col] if time_col in tickets.columns else []
     scored = scoring.score(valid.withColumn("text", serving_text("subject", "description")),
-                           features, heads, keep=(id_col, "subject", "description", "text"))
-    return io.log_rows(scored, id_col, latency_ms=0.0)
+                           features, heads, keep=(id_col, "subject", "description", "text", *own_time))
+    return io.log_rows(scored, id_col, latency_ms=0.0, ts=F.col(time_col) if own_time else None)
 
 
-def quarantine_stream(tickets: DataFrame) -> DataFrame:
-    return io.validate(tickets).where(F.col("reject_reason").isNotNull())
+def quarantine_stream(tickets: DataFrame, features: str = "embedding") -> DataFrame:
+    """The tickets that ``triage_stream`` does not score, with their reason."""
+    return io.validate(tickets, features=features).where(F.col("reject_reason").isNotNull())
+
+
+def start_committed(log_rows: DataFrame, log: CommitLog, checkpoint: str, name: str = "stream", available_now: bool = True):
+    """Exactly-once sink: micro-batch n is batch ``name``-n of the log. A
+    batch that was committed before a crash and comes again is skipped."""
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        log.append(batch, f"{name}-{batch_id}")
+
+    w = log_rows.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
 
 
 def start_triage(log_rows: DataFrame, path: str, checkpoint: str,
