@@ -91,8 +91,11 @@ def bundle(log: DataFrame) -> DataFrame:
     """The analytics bundle as one nested row, built from the
     one-pass rollup. Maps per dimension, day series sorted by date.
     An empty log gives zeros, empty maps and an empty series."""
-    r = rollup(log)
+    return bundle_of(rollup(log))
+
 
+def bundle_of(r: DataFrame) -> DataFrame:
+    """The bundle of rollup rows."""
     def dist(dim):
         return F.map_from_entries(F.coalesce(
             F.collect_list(F.when(F.col("dimension") == dim, F.struct(F.col("label"), F.col("n")))),

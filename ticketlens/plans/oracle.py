@@ -546,6 +546,9 @@ SQL["q_phase_report"] = _with(
         _trained("tickets", "ticket_id", ("category",), "'phase2' AS phase, "),
         _trained("emb", "vec_id", _TARGETS, "'phase3' AS phase, ")])
 
+SQL["q_bundle_incremental"] = SQL["q_analytics_bundle"]
+SQL["q_index_segments"] = SQL["q_vocabulary"]
+
 
 def oracle_sql() -> dict:
     return dict(SQL)

@@ -18,6 +18,8 @@ from ticketlens.functions.prompts import user_prompt
 from ticketlens.functions.text import ngrams, serving_text, tokens, training_text
 from ticketlens.operators import analytics as A
 from ticketlens.operators import knn, metrics, review, scoring, split, tfidf, training
+from ticketlens.operators.daily_state import DailyState
+from ticketlens.operators.segments import SegmentedIndex
 from ticketlens.session import ensure_checkpoint_dir
 from ticketlens.sources import io
 from ticketlens.sources import tables as T
@@ -115,7 +117,10 @@ def _map_text(c):
 def q_analytics_bundle(spark, sf):
     """The nested bundle, with maps and the series rendered as sorted
     ``key=value`` text for comparison."""
-    b = A.bundle(current_log(spark, sf))
+    return _bundle_text(A.bundle(current_log(spark, sf)))
+
+
+def _bundle_text(b):
     series = F.array_join(F.transform(F.col("tickets_over_time"),
                                       lambda e: F.concat(e["date"], F.lit("="), e["count"].cast("string"))), ",")
     return b.select("total_tickets",
@@ -126,6 +131,19 @@ def q_analytics_bundle(spark, sf):
                     series.alias("tickets_over_time"))
 
 
+def q_bundle_incremental(spark, sf):
+    """A9 / E4 from the states by day: the log comes in three batches, the
+    last one with late rows of all days, and each is taken in on its own."""
+    log, state = _new_log(spark), DailyState(spark, f"{ensure_checkpoint_dir(spark)}/states-{uuid.uuid4().hex}")
+    rows = current_log(spark, sf).select(*schemas.PREDICTIONS.fieldNames())
+    late = F.pmod(F.xxhash64("id"), F.lit(10)) == 0
+    early = F.dayofmonth("timestamp") <= 15
+    for name, part in (("early", rows.where(early & ~late)), ("rest", rows.where(~early & ~late)), ("late", rows.where(late))):
+        log.append(part, name)
+        state.refresh(log)
+    return _bundle_text(state.bundle())
+
+
 def q_confidence_band(spark, sf):
     return A.confidence_bands(current_log(spark, sf))
 
@@ -191,6 +209,20 @@ def q_ngrams(spark, sf):
 
 # -- TF-IDF and similarity (X3-X9, T2) --------------------------------------------
 
+def q_index_segments(spark, sf):
+    """The vocabulary of an index that grew by segments: the tickets
+    come in three parts, the last of which is put in twice, the second time
+    in place of the first."""
+    index = SegmentedIndex(spark, f"{ensure_checkpoint_dir(spark)}/segments-{uuid.uuid4().hex}")
+    c = corpus_text(spark, sf).select("ticket_id", "text")
+    part = F.least(F.pmod(F.xxhash64("ticket_id"), F.lit(100)), F.lit(98))
+    for low, high in ((0, 60), (60, 98), (98, 99)):
+        docs = c.where((part >= low) & (part < high))
+        index.add(docs, "ticket_id")
+    index.replace(docs, "ticket_id", ids=docs.select("ticket_id"))
+    return index.model().vocabulary.select("term", "df", _r("idf"))
+
+
 def q_vocabulary(spark, sf):
     model, _ = corpus_index(spark, sf)
     return model.vocabulary.select("term", "df", _r("idf"))
@@ -457,19 +489,34 @@ def q_train_tfidf(spark, sf):
     return _checked(training.train_tfidf_phase(corpus_text(spark, sf), "ticket_id", "text", "category"))
 
 
-def q_phase_report(spark, sf):
-    """The three phases from fitted models: TF-IDF on the tickets
-    with labels, TF-IDF on all tickets, embeddings for three targets."""
+def _phases(spark, sf) -> list:
     c = corpus_text(spark, sf)
     labelled = c.join(T.table(spark, sf, "labels").select(F.col("doc_id").alias("ticket_id")).distinct(), "ticket_id", "left_semi")
-    phases = [("phase1", training.train_tfidf_phase(labelled, "ticket_id", "text", "category")),
-              ("phase2", training.train_tfidf_phase(c, "ticket_id", "text", "category")),
-              ("phase3", training.train_embedding_phase(T.embedding_rows(spark, sf), "vec_id", "embedding", TARGETS))]
+    return [("phase1", training.train_tfidf_phase(labelled, "ticket_id", "text", "category")),
+            ("phase2", training.train_tfidf_phase(c, "ticket_id", "text", "category")),
+            ("phase3", training.train_embedding_phase(T.embedding_rows(spark, sf), "vec_id", "embedding", TARGETS))]
+
+
+def _all_phases(phases, shape):
     out = None
     for name, report in phases:
-        rows = _checked(report).select(F.lit(name).alias("phase"), "*")
+        rows = shape(report).select(F.lit(name).alias("phase"), "*")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def q_phase_report(spark, sf):
+    """The three phases from fitted models: TF-IDF on the tickets
+    with labels, TF-IDF on all tickets, embeddings for three targets."""
+    return _all_phases(_phases(spark, sf), _checked)
+
+
+def q_phase_metrics(spark, sf):
+    """Accuracy and macro F1 of the fitted phases on held-out rows,
+    with the solver's steps."""
+    return _all_phases(_phases(spark, sf), lambda r: r.select(
+        "target", "train_rows", "test_rows", S.py_round(F.col("accuracy"), 4).alias("accuracy"), S.py_round(F.col("f1_macro"), 4).alias("f1_macro"),
+        S.py_round(F.col("train_accuracy"), 4).alias("train_accuracy"), "iterations"))
+
+
 REGISTRY = {name: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
