@@ -182,3 +182,26 @@ def test_replayed_stream_writes_the_same_log(spark):
     first = start("ck")
     assert len(log.batches()) == 3 and start("fresh") == first and len(first) == et.count()
     assert {r[10].isoformat() for r in first} == {"2025-03-04T05:06:07"}
+
+
+def test_replayed_files_change_no_count(spark):
+    """Every file comes twice; the stream counts as the batch over distinct
+    ids."""
+    base = _tmp()
+    log = T.predictions(spark, SF).select(*schemas.PREDICTIONS.fieldNames())
+    days = sorted(r[0] for r in log.select(F.to_date("timestamp")).distinct().collect())[:3]
+    path = os.path.join(base, "log")
+    for day in days:
+        for _ in range(2):
+            log.where(F.to_date("timestamp") == F.lit(day)).coalesce(1).write.mode("append").parquet(path)
+            time.sleep(1.1)
+    out = os.path.join(base, "daily")
+    q = ST.start_append(ST.daily_counts_stream(ST.read_log_stream(spark, path, 1), delay="2 days", distinct=True), out, os.path.join(base, "ck"))
+    q.awaitTermination(300)
+    got = {r.date: r.n for r in spark.read.parquet(out).collect()}
+    want = {r.date: r.n for r in A.daily_counts(spark.read.schema(schemas.PREDICTIONS).parquet(path).dropDuplicates(["id"])).collect()}
+    assert set(got) <= set(want) and all(want[d] == n for d, n in got.items())
+    plain = os.path.join(base, "plain")
+    ST.start_append(ST.daily_counts_stream(ST.read_log_stream(spark, path, 1), delay="0 seconds"), plain, os.path.join(base, "ck2")).awaitTermination(300)
+    doubled = {r.date: r.n for r in spark.read.parquet(plain).collect()}
+    assert doubled and all(n == 2 * want[d] for d, n in doubled.items())

@@ -21,19 +21,28 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _halves(a):
+    """A number as the sum of two that have half its digits each."""
+    c = a * 134217729.0  # 2^27 + 1
+    high = c - (c - a)
+    return high, a - high
+
+
 def py_round(c, places: int) -> Column:
     """Round like Python's ``round(x, n)`` on a float: the exact binary
     value, half to even. Spark's ``round`` rounds the shortest decimal
-    form half-up (35.05 -> 35.1, Python gives 35.0). Away from ties the
-    nearest multiple is plain arithmetic; only values close to a tie (and
-    huge ones) take the slow, exact way through Java's ``DecimalFormat``.
-    Known gap: below 1e-4 a value sitting on a decimal tie may still round
-    down (0.00005 -> 0.0, Python 0.0001)."""
-    x = _col(c)
-    scaled = x * F.lit(float(10 ** places))
-    away = F.abs(scaled - F.floor(scaled) - F.lit(0.5)) > F.lit(1e-6)
-    exact = F.regexp_replace(F.format_number(x, places), ",", "").cast("double")
-    return F.when((F.abs(scaled) < F.lit(1e9)) & away, F.floor(scaled + F.lit(0.5)) / F.lit(float(10 ** places))).otherwise(exact)
+    form half-up (35.05 -> 35.1, Python gives 35.0). The product with
+    10^n is taken without error, as a float and what it lacks; the second
+    part decides where the first is a tie. Values that have no fraction
+    after scaling stay as they are."""
+    x, scale = _col(c), float(10 ** places)
+    product = x * F.lit(scale)
+    (high, low), (scale_high, scale_low) = _halves(x), _halves(scale)
+    lacks = ((high * F.lit(scale_high) - product) + high * F.lit(scale_low) + low * F.lit(scale_high)) + low * F.lit(scale_low)
+    below = F.floor(product)
+    over = product - below - F.lit(0.5)
+    up = (over > 0) | ((over == 0) & ((lacks > 0) | ((lacks == 0) & (below % 2 != 0))))
+    return F.when(F.abs(product) < F.lit(2.0 ** 53), (below + up.cast("long")) / F.lit(scale)).otherwise(x)
 
 
 def review_flag(raw_confidence) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlens.functions import scalar as S
+from ticketlens.sources.commit_log import CommitLog
 
 QUEUE_LIMIT = 50
 QUEUE_COLUMNS = ("id", "subject", "description", "pred_category", "pred_priority",
@@ -55,6 +56,20 @@ def review_queue(log: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
             .limit(limit))
 
 
+def newest_first(log: CommitLog, actions: DataFrame, limit: int = QUEUE_LIMIT) -> tuple[DataFrame, list[str]]:
+    """T1 on a log kept by day: (the queue, the days that were read). Days are
+    read from the newest back, twice as many each time, until ``limit`` open
+    items are certain: rows of older days are older than all of these."""
+    days, read, n = log.days(), [], 1
+    while True:
+        read = days[:n]
+        rows = log.read().where(F.col("day") >= F.lit(read[-1])) if read else log.read()
+        queue = review_queue(apply_review_actions(rows, actions), limit)
+        if n >= len(days) or queue.count() >= limit:
+            return queue, read
+        n *= 2
+
+
 def review_queue_export(log: DataFrame, limit: int = QUEUE_LIMIT) -> DataFrame:
     """T1 + P11: the queue as the API returns it (ISO timestamp text)."""
     q = review_queue(log, limit)
