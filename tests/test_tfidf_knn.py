@@ -93,7 +93,9 @@ def test_df_bounds_inclusive(spark):
 
 
 @pytest.mark.parametrize("options", [{}, {"block_queries": 3, "part_postings": 40},
-                                     {"block_queries": 2, "part_postings": 100, "max_broadcast": 0}])
+                                     {"block_queries": 2, "part_postings": 100, "max_broadcast": 0},
+                                     {"plan_from": 0}, {"plan_from": 0, "block_queries": 3, "part_postings": 40},
+                                     {"plan_from": 0, "block_queries": 2, "part_postings": 100, "max_broadcast": 0}])
 def test_topk_equals_brute_force(spark, options):
     corpus = make_corpus(2, 60)
     queries = {100 + i: corpus[i] for i in range(6)}
@@ -119,6 +121,45 @@ def test_topk_equals_brute_force(spark, options):
     assert all(s == 0.0 for _, s in by_q[200])
 
 
+def test_skipped_postings_are_bounded_by_the_rest():
+    """No document gains more from skipped postings than the plan says, and
+    what has only skipped postings stays below the floor."""
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        n = rng.integers(1, 30)
+        qw = rng.random(n)
+        qw /= np.sqrt((qw ** 2).sum())
+        docs = rng.random((50, n)) * (rng.random((50, n)) < 0.4)
+        docs /= np.maximum(np.sqrt((docs ** 2).sum(axis=1, keepdims=True)), 1.0) * rng.uniform(1, 2, (50, 1))
+        tops = [[docs[c, t].max() for k in range(12) if (c := (docs[:, t] > 0) & (np.floor(-np.log2(np.maximum(docs[:, t], 1e-9))) == k)).any()] or [0.5] for t in range(n)]
+        floor = float(rng.random() * 0.8)
+        cutoff, rest = knn.skip_plan(pd.DataFrame({"term": np.arange(n), "qw": qw, "n": rng.integers(1, 40, n), "tops": tops}), floor)
+        skipped = np.where(docs < cutoff, docs, 0.0) @ qw
+        assert (skipped <= rest + 1e-9).all() and (rest < floor or rest == 0)
+
+
+def test_share_of_postings_read_falls_with_the_corpus(spark):
+    """Queries that have near neighbours read a smaller share of a larger
+    corpus, and get the rows of the whole one."""
+    rnd = random.Random(9)
+    rare = [f"rare{k}" for k in range(4000)]
+    common = [f"common{k}" for k in range(12)]
+    shares = []
+    for n in (150, 1500):
+        corpus = {i: " ".join(rnd.choices(rare, k=10) + rnd.choices(common, k=10)) for i in range(n)}
+        corpus |= {n + i: corpus[i] for i in range(0, n, 2)}
+        c, q = _frames(spark, corpus, {10 ** 6 + i: corpus[i] for i in range(8)})
+        model = tfidf.fit(c, "id", "text")
+        cw, qw = (tfidf.transform(x, "id", "text", model).checkpoint() for x in (c, q))
+        job = knn.prepare(q.select("id"), qw, cw)
+        shares.append(knn.postings_read(job, knn.plan_of(job, 1)) / job.corpus.join(job.q.select("term").distinct(), "term").count())
+        a, b = (sorted((r.query_id, r["rank"], r.id) for r in knn.similar_topk(q.select("id"), qw, c.select("id"), cw, 1, plan_from=p).collect()) for p in (0, knn.PLAN_FROM))
+        assert a == b
+    assert shares[1] < shares[0] < 1
+
+
 def test_corpus_smaller_than_k(spark):
     corpus = {1: "login error", 2: "login reset", 3: "billing error"}
     c, q = _frames(spark, corpus, {9: "login error"})
