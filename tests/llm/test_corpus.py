@@ -369,6 +369,9 @@ def test_similarities_by_pairs_and_by_matrix_agree():
     texts = [np.sort(rng.choice(pool, rng.integers(0, 90))).astype(np.uint32) for _ in range(30)] + [np.zeros(0, dtype=np.uint32)]
     bags = [t.tobytes() for t in texts]
     whole = N.all_similarities(bags, bags, factors)
+    among = N.all_similarities(bags, bags, factors, True)
+    off = ~np.eye(len(bags), dtype=bool)
+    assert among[off] == pytest.approx(whole[off])
     for i, a in enumerate(texts):
         pairs = N.similarities([bags[i]] * len(bags), bags, factors)
         assert pairs == pytest.approx(whole[i])
@@ -397,6 +400,7 @@ def test_more_texts_than_columns(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     whole = {r.doc_id: r.class_id for r in N.classes(df).collect()}
     monkeypatch.setattr(N, "COLUMNS", 12)
+    monkeypatch.setattr(N, "SLICE_TEXTS", 30)
     exact = {r.doc_id: r.class_id for r in N.classes(df, exact=True).collect()}
     assert exact == whole and 1 < len(set(whole.values())) < 90
     rounds = {r.doc_id: r.class_id for r in N.classes(df).collect()}

@@ -46,6 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def settle(df: DataFrame, part_bytes: int = 4 << 20) -> DataFrame:
+    """``cut``, read back by as many tasks as the stored bytes need: a shuffle
+    leaves a small table in many files, and each join of such tables would
+    start a task for every one of them."""
+    out = cut(df)
+    rdd = out._jdf.queryExecution().logical().rdd()
+    path = out.sparkSession._jvm.org.apache.hadoop.fs.Path(rdd.getCheckpointFile().get())
+    size = path.getFileSystem(out.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    parts = max(1, -(-size // part_bytes))
+    return out.coalesce(parts) if parts < rdd.getNumPartitions() else out
+
+
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Bounds the Arrow batches by rows and bytes: a text may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
