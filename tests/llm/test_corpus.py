@@ -419,3 +419,11 @@ def test_pairs_grow_with_a_group_not_with_its_square(spark):
         if n == 100:
             assert len({r.class_id for r in N.classes(df).collect()}) > 50
     assert made[1] < 8 * made[0] + 400
+
+
+def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path))
+    assert rows.collect() == [] and "n_tokens" in rows.columns
