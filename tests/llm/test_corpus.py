@@ -427,3 +427,20 @@ def test_pipeline_on_an_empty_table(spark, empty, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     rows = corpus_pipeline.run(spark, str(tmp_path))
     assert rows.collect() == [] and "n_tokens" in rows.columns
+
+
+def test_substring_dedup_of_null_ids_and_equal_rows(spark):
+    """Texts of null ids are told apart, and equal rows share one list of
+    coordinates."""
+    rng = random.Random(21)
+    passage = [f"p{k}" for k in range(50)]
+    rows = []
+    for k in range(200):
+        words = [f"w{rng.randrange(10 ** 6)}" for _ in range(60)]
+        rows.append((None if k % 2 else 7, " ".join(words[:30] + (passage if k % 3 == 0 else []) + words[30:])))
+    rows += [(None, " ".join(f"e{k}" for k in range(90)))] * 400 + [(5, " ".join(f"e{k}" for k in range(90)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_repeats([t for _, t in rows], D.WINDOW)
+    assert rows_of(D.remove_repeats(df), *REPEATS) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=repr)
+    spans = D.repeated(df)
+    assert spans.where("doc_id is null").dropDuplicates(["digest", "at", "n"]).groupBy("digest").count().agg(F.max("count")).first()[0] < 60
