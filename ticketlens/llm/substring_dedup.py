@@ -23,11 +23,13 @@ Hot anchors (a passage in a third of all documents): step 1 sends one row
 per task and anchor; the joins of steps 2 and 3 have unique keys on one
 side, and adaptive skew joins split the other. The repeated anchors are
 broadcast up to ``BROADCAST_ANCHORS`` of them and joined by a shuffle
-beyond. A document's coordinates are bounded by its own length.
+beyond. Rows that are equal in id and text have the same coordinates, which
+are kept once (distinct in each task first), so a document's coordinates
+are bounded by its own length.
 
 Defined cases: a null or empty text has no words; texts under ``WINDOW``
-words lose nothing; null and equal ids are told apart by the text, and rows
-equal in both repeat each other; an empty table gives an empty result;
+words lose nothing; null and equal ids are told apart by 64 bits of the
+text, and rows equal in both repeat each other; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -99,14 +101,14 @@ def paths(docs: DataFrame, window: int, k: int, windows: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["anchor", "path"] + (["doc_id", "digest", "at", "n", "hashes"] if windows else [])
-    schema = "anchor long, path long" + (f", doc_id {kind}, digest int, at int, n int, hashes array<long>" if windows else "")
+    schema = "anchor long, path long" + (f", doc_id {kind}, digest long, at int, n int, hashes array<long>" if windows else "")
     return keyed(docs).select("doc_id", "digest", word_hashes(F.col("text")).alias("words")).mapInArrow(run, schema)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, digest (of the text, for equal ids), text."""
     text = text_or_empty("text")
-    return docs.select("doc_id", F.hash(text).alias("digest"), text.alias("text"))
+    return docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
 
 
 def repeated(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -131,7 +133,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     joined by one space) of every row."""
     small_batches(docs.sparkSession)
     spans = repeated(docs, window, k).groupBy(F.col("doc_id").alias("of_id"), F.col("digest").alias("of_digest")).agg(
-        F.collect_list(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("spans"))  # two numbers in one: half the bytes
+        F.collect_set(F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")).alias("spans"))  # two numbers in one: half the bytes
     own = keyed(docs)
     rows = own.join(spans, own.doc_id.eqNullSafe(F.col("of_id")) & (own.digest == F.col("of_digest")), "left").select("doc_id", "text", "spans")
     kind = docs.schema["doc_id"].dataType.simpleString()
