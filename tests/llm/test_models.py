@@ -188,3 +188,45 @@ def test_redaction_and_odd_tables(spark, documents, clashing, empty):
     assert S.scan_secrets(empty).collect() == [] and S.redact_secrets(empty).collect() == []
     assert rows_of(S.scan_secrets(clashing), "doc_id", "spans") == rows_of(S.scan_secrets(documents), "doc_id", "spans")
     assert S.redact_secrets(clashing).columns == clashing.columns
+
+
+def test_segments_take_linear_time():
+    """The same segments as by brute force, and a long run in time."""
+    import time
+    rng = random.Random(12)
+    for _ in range(300):
+        scores = [rng.choice([-2, -1, 1, 2, 3]) for _ in range(rng.randrange(1, 14))]
+
+        def best(a, b):  # the maximal segments are the best one and those of what is left of it and right of it
+            if a >= b:
+                return []
+            top = max(((sum(scores[i:j]), -(j - i), -i) for i in range(a, b) for j in range(i + 1, b + 1)), default=(0, 0, 0))
+            if top[0] <= 0:
+                return []
+            i, j = -top[2], -top[2] - top[1]
+            return best(a, i) + [(i, j)] + best(j, b)
+
+        got = S.segments(scores)
+        assert sum(sum(scores[a:b]) for a, b in got) == sum(sum(scores[a:b]) for a, b in best(0, len(scores)))
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+    took = []
+    for n in (100_000, 800_000):
+        scores = [rng.choice([-1.0, -0.8, 0.9, 0.7]) - 0.2 for _ in range(n)]
+        start = time.process_time()
+        S.segments(scores)
+        took.append(time.process_time() - start)
+    assert took[1] < 30 * took[0] + 1
+
+
+def test_a_very_long_run(spark):
+    """A run of 3 MB of ordinary characters with one secret in it."""
+    import time
+    rng = random.Random(13)
+    words = "account/user_name/list-index/session/value/".split("/")
+    ordinary = "/".join(rng.choices(words, k=400_000))
+    secret = "".join(rng.choices(string.ascii_letters + string.digits, k=40))
+    df = spark.createDataFrame([(1, ordinary + "/" + secret + "/" + ordinary[:1000]), (2, "x1" * 500_000)], "doc_id long, text string")
+    start = time.time()
+    rows = {r.doc_id: r for r in S.scan_secrets(df).collect()}
+    at = len(ordinary) + 1
+    assert f"markov:{at}:{at + 40}" in rows[1].spans and time.time() - start < 120

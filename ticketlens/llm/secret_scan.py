@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +44,7 @@ MIN_RATIO = 2.0
 MIN_DIFFERENT = 8
 MIDDLE = 1.2  # a character, between ordinary and random text
 SEPARATORS = "=/_-"
+SEPARATOR = re.compile("[=/_-]")
 BACK_OFF = 20.0
 SEED, SYNTHETIC = 9, 4000
 MASK = "[SECRET]"
@@ -155,8 +157,10 @@ def random_like(table: np.ndarray, run: str) -> bool:
 
 
 def segments(scores: list) -> list[tuple[int, int]]:
-    """All maximal-scoring segments (Ruzzo and Tompa): (start, end)."""
-    out, total = [], 0.0  # (start, end, sum before, sum after)
+    """All maximal-scoring segments (Ruzzo and Tompa): (start, end). Each
+    candidate knows the last one before it with a lower sum before, so a
+    search never looks at one twice."""
+    out, total = [], 0.0  # (start, end, sum before, sum after, the candidate with a lower sum before)
     for k, x in enumerate(scores):
         before, total = total, total + x
         if x <= 0:
@@ -165,12 +169,12 @@ def segments(scores: list) -> list[tuple[int, int]]:
         while True:
             j = len(out) - 1
             while j >= 0 and out[j][2] >= before:
-                j -= 1
+                j = out[j][4]
             if j < 0 or out[j][3] >= total:
                 break
             start, before = out[j][0], out[j][2]
             del out[j:]
-        out.append((start, k + 1, before, total))
+        out.append((start, k + 1, before, total, j))
     return [x[:2] for x in out]
 
 
@@ -183,10 +187,13 @@ def random_parts(table: np.ndarray, run: str) -> list[tuple[int, int]]:
     found = [m.span() for m in PART.finditer(run) if random_like(table, m[0])]
     score = ratios(table, run) - MIDDLE
     if score[score > 0].sum() >= MIN_RUN * (MIN_RATIO - MIDDLE):
+        whole: dict = {}  # a part between separators may have many segments
+        cuts = [-1, *(m.start() for m in SEPARATOR.finditer(run)), len(run)]
         for a, b in segments(score.tolist()):
-            left = max(run.rfind(c, 0, a) for c in SEPARATORS) + 1
-            right = min((k for k in (run.find(c, b) for c in SEPARATORS) if k >= 0), default=len(run))
-            if random_like(table, run[a:b]) or random_like(table, run[left:right]):
+            left, right = cuts[bisect_left(cuts, a) - 1] + 1, cuts[bisect_left(cuts, b)]
+            if (left, right) not in whole:
+                whole[left, right] = random_like(table, run[left:right])
+            if whole[left, right] or random_like(table, run[a:b]):
                 found.append((left, right))
     out = []
     for a, b in sorted(found):
