@@ -37,6 +37,16 @@ def test_rules_and_parts_of_urls(spark):
             assert got[k].verdict == verdict
 
 
+def test_a_chain_of_hosts_is_followed_to_its_end(spark):
+    """Thirty hosts that link one to the next, the last to a blocked page;
+    and what hangs on a trusted host as far away stays allowed."""
+    chain = [(k, f"http://h{k}.net/", f'<a href="http://h{k + 1}.net/">x</a>') for k in range(30)]
+    chain += [(30, "http://h30.net/", '<a href="http://com.example.com/de/">x</a>'), (31, "http://com/de/1", None), (32, "http://h30.net/2", '<a href="http://com/">x</a>')]
+    good = [(100, "http://org/", '<a href="http://g0.net/">x</a>')] + [(101 + k, f"http://g{k}.net/", f'<a href="http://g{k + 1}.net/">x</a>') for k in range(30)]
+    got = {r.page_id: r.verdict for r in U.filter_urls(pages(spark, chain + good)).collect()}
+    assert {got[k] for k in range(31)} == {"block"} and {v for k, v in got.items() if k >= 100} == {"allow"}
+
+
 def test_propagation_matches_brute_force(spark):
     def a(*links):
         return "".join(f'<p><A class=x HREF="{x}">t</a>' for x in links)
@@ -66,7 +76,7 @@ def test_propagation_matches_brute_force(spark):
         for (u, _), n in e.items():
             out[u] += n
         s = Counter(seeds[kind])
-        for _ in range(U.STEPS):
+        for _ in range(300):  # to the fixed point
             t = Counter(seeds[kind])
             for (u, v), n in e.items():
                 t[v] += s[u] * U.DAMPING * n / out[u]
@@ -144,3 +154,23 @@ def test_odd_tables(empty, documents, clashing, judged, spark):
     assert key(Q.judge_quality(clashing).collect()) == key(judged)
     other = spark.createDataFrame([(1, "### " * 20 + "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 2, "xx")], "doc_id long, text string, lang string")
     assert Q.judge_quality(other).head().kept == (not Q.judge_quality(other).head().base_failed)
+
+
+def test_languages_without_a_word_list(spark, documents, monkeypatch):
+    """Junk of a further language is rejected by its characters, and clean
+    texts of a further script are kept by their own reference."""
+    import random
+    rng = random.Random(4)
+    monkeypatch.setattr(Q, "MIN_DOCUMENTS", 20)
+    names = ["doc_id", "text", "lang"]
+    russian = "и в не на я быть он с что а по это она этот к но они мы весь который из у то за свой".split()
+    clean = [(10_000 + k, " ".join(rng.choices(russian, k=120)), "ru") for k in range(40)]
+    italian = [(20_000 + k, " ".join(rng.choices("il la di che e un per non sono con le si da come io questo ha".split(), k=160)), "it") for k in range(3)]
+    junk = [(30_000 + k, " ".join(f"{rng.choice('#*$%&|')}{w}{k}{i}" for i, w in enumerate(rng.choices(["##", "%%", "x9", "$$"], k=150))), lang)
+            for k, lang in enumerate(["it", "ru", "en", None])]
+    rows = spark.createDataFrame(clean + italian + junk, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in Q.judge_quality(documents.select(*names).unionByName(rows)).collect()}
+    assert all(got[i].kept for i, *_ in clean + italian)
+    assert all(not got[i].kept and not got[i].base_failed for i, *_ in junk)
+    refs = Q.references(documents.select(*names).unionByName(rows))
+    assert set(refs) == {"de", "en", "ru"} and "words" not in refs["ru"]  # it has too few documents for one of its own

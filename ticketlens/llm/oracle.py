@@ -37,12 +37,11 @@ step AS (SELECT kind, u, v, n, sum(n) OVER (PARTITION BY kind, u) AS n_out FROM
 hits AS (SELECT host, count(*) AS n, count(*) FILTER (verdict = 'allow') AS a, count(*) FILTER (verdict = 'block') AS b FROM ruled GROUP BY 1),
 s0 AS (SELECT 't' AS kind, host, CAST(floor(a * {float(U.UNIT)!r}::DOUBLE / n) AS BIGINT) AS score FROM hits WHERE a > 0
     UNION ALL SELECT 'd', host, CAST(floor(b * {float(U.UNIT)!r}::DOUBLE / n) AS BIGINT) FROM hits WHERE b > 0)"""]
-    for k in range(U.STEPS):
-        ctes.append(f"""
-s{k + 1} AS (SELECT kind, host, CAST(sum(score) AS BIGINT) AS score FROM (SELECT * FROM s0 UNION ALL
-    SELECT s.kind, v, CAST(floor(score * {U.DAMPING!r}::DOUBLE * n / n_out) AS BIGINT) FROM s{k} s JOIN step ON s.kind = step.kind AND s.host = step.u) GROUP BY 1, 2)""")
-    return "WITH " + ",".join(ctes) + f""",
-bad AS (SELECT host FROM s{U.STEPS} GROUP BY 1
+    return "WITH RECURSIVE " + ",".join(ctes) + f""",
+walk AS (SELECT kind, host, score FROM s0 UNION ALL
+    SELECT w.kind, v, CAST(sum(CAST(floor(score * {U.DAMPING!r}::DOUBLE * n / n_out) AS BIGINT)) AS BIGINT)
+    FROM walk w JOIN step ON w.kind = step.kind AND w.host = step.u WHERE score >= {U.TOLERANCE} GROUP BY 1, 2),
+bad AS (SELECT host FROM walk GROUP BY 1
     HAVING coalesce(sum(score) FILTER (kind = 'd'), 0) > coalesce(sum(score) FILTER (kind = 't'), 0) * {U.RATIO!r}::DOUBLE)
 SELECT page_id, ruled.host, path, rule, coalesce(verdict, CASE WHEN bad.host IS NOT NULL THEN 'block' END, 'allow') AS verdict
 FROM ruled LEFT JOIN bad ON ruled.host = bad.host"""
@@ -77,7 +76,7 @@ def op4() -> str:
     def js(doc, ref, out):
         return f"""
 {out}_j AS (SELECT d.rid, r.lang, greatest(0, (1 + sum(p * log2(2 * p / (p + q)) + q * log2(2 * q / (p + q)) - q)) / 2) AS js2
-    FROM {doc} d JOIN {ref} r USING (bin) GROUP BY 1, 2),
+    FROM {doc} d JOIN {ref} r ON d.bin = r.bin AND (r.lang IN ({langs}) OR r.lang = d.lang) GROUP BY 1, 2),
 {out} AS (SELECT rid, min(sqrt(js2)) AS {out} FROM {out}_j GROUP BY 1)"""
 
     return f"""WITH d0 AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
@@ -96,16 +95,18 @@ known AS (SELECT DISTINCT lang FROM d WHERE lang IN ({langs})),
 wbins AS (SELECT unnest([{words}, '']) AS bin), cbins AS (SELECT unnest([{", ".join(_q(n) for n in Q.CLASS_NAMES)}]) AS bin),
 wr0 AS (SELECT k.lang, b.bin, coalesce(sum(n), 0) + 1 AS n FROM known k CROSS JOIN wbins b LEFT JOIN wc ON wc.lang = k.lang AND wc.bin = b.bin GROUP BY 1, 2),
 wr AS (SELECT lang, bin, n / sum(n) OVER (PARTITION BY lang) AS q FROM wr0),
-cr0 AS (SELECT k.lang, b.bin, coalesce(sum(n), 0) + 1 AS n FROM known k CROSS JOIN cbins b LEFT JOIN cc ON cc.lang = k.lang AND cc.bin = b.bin GROUP BY 1, 2),
+clang AS (SELECT lang FROM known UNION ALL SELECT lang FROM d WHERE lang IS NOT NULL AND lang NOT IN ({langs}) GROUP BY 1
+    HAVING count(*) >= {Q.MIN_DOCUMENTS} AND count(*) >= {Q.MIN_SHARE!r}::DOUBLE * (SELECT count(*) FROM d)),
+cr0 AS (SELECT k.lang, b.bin, coalesce(sum(n), 0) + 1 AS n FROM clang k CROSS JOIN cbins b LEFT JOIN cc ON cc.lang = k.lang AND cc.bin = b.bin GROUP BY 1, 2),
 cr AS (SELECT lang, bin, n / sum(n) OVER (PARTITION BY lang) AS q FROM cr0),
-wd AS (SELECT rid, bin, n / sum(n) OVER (PARTITION BY rid) AS p FROM wc),
-cd AS (SELECT rid, bin, n / sum(n) OVER (PARTITION BY rid) AS p FROM cc WHERE n > 0),{js("wd", "wr", "word_js")},{js("cd", "cr", "class_js")},
+wd AS (SELECT rid, lang, bin, n / sum(n) OVER (PARTITION BY rid) AS p FROM wc),
+cd AS (SELECT rid, lang, bin, n / sum(n) OVER (PARTITION BY rid) AS p FROM cc WHERE n > 0),{js("wd", "wr", "word_js")},{js("cd", "cr", "class_js")},
 b AS (SELECT d.*, len(w) AS n_words, coalesce(n_dup_lines, 0) AS dup, coalesce(n_repeat_words, 0) AS rw, word_js, class_js
     FROM d LEFT JOIN lines USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN word_js USING (rid) LEFT JOIN class_js USING (rid)),
 f AS (SELECT *, n_words < {Q.MIN_WORDS} OR 100 * rw > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, n_chars - c_space AS word_chars, n_symbols, dup AS n_dup_lines, rw AS n_repeat_words, base_failed,
-    NOT base_failed AND NOT ((lang IS NULL OR lang IN (SELECT lang FROM known)) AND
-    ({above("word_js", "n_words", Q.WORD_LIMITS)} OR {above("class_js", "n_chars", Q.CLASS_LIMITS)})) AS kept FROM f"""
+    NOT base_failed AND NOT (((lang IS NULL OR lang IN (SELECT lang FROM known)) AND {above("word_js", "n_words", Q.WORD_LIMITS)})
+    OR {above("class_js", "n_chars", Q.CLASS_LIMITS)}) AS kept FROM f"""
 
 
 def op11() -> str:

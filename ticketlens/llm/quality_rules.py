@@ -7,19 +7,23 @@ language references by Jensen-Shannon distance (base 2, 0 to 1):
 * character classes (``CLASSES``),
 * common words (``COMMON_WORDS`` and one bin for all other words).
 
-References are summed over all documents whose ``lang`` is a key of the
-word lists, with one added to each count. A document's distance is the
-smallest over the references. It is rejected where a distance is above the
-limit that holds at its length (``WORD_LIMITS``, ``CLASS_LIMITS``); shorter
-texts have too few counts to judge.
+References are summed over all documents of a ``lang``, with one added to
+each count: of both histograms for the keys of the word lists, of character
+classes for every other lang with at least ``MIN_DOCUMENTS`` documents and
+``MIN_SHARE`` of all (a thousand langs at the most). A document's distance is
+the smallest over the references of the word lists' languages and that of
+its own lang. It is rejected where a distance is above the limit that holds
+at its length (``WORD_LIMITS``, ``CLASS_LIMITS``); shorter texts have too few
+counts to judge. Common words judge only documents of those languages and of
+a null lang, character classes judge all.
 
 Everything is a column expression. The histograms that leave a task are
 one row per language and bin, so no key can become hot.
 
 Defined cases: null or empty text: no words, ``base_failed``; null lang:
-judged by all references; a lang that has no reference is judged by the
-base rules alone; no references at all (empty table, no known lang): base
-rules alone; repeated rows each get a row; other columns are ignored.
+judged by the word lists' languages; a lang that has no reference is judged
+by its character classes against those; no references at all (empty table,
+no lang with one): base rules alone; repeated rows each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +31,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketlens.llm.common import NOT_SPACE, let, text_or_empty, words
+from ticketlens.llm.common import NOT_SPACE, cut, let, text_or_empty, words
 
 MIN_WORDS = 50
 #: (at least so many words, largest distance), longest first.
 WORD_LIMITS = ((300, 0.22), (50, 0.37))
 #: (at least so many characters, largest distance).
 CLASS_LIMITS = ((200, 0.32),)
+#: Of the documents of a lang without a word list that gets a reference.
+MIN_DOCUMENTS, MIN_SHARE = 50, 0.001
 
 # Frequent function words by language.
 COMMON_WORDS = {
@@ -123,30 +129,36 @@ def measured(docs: DataFrame) -> DataFrame:
 
 def references(docs: DataFrame) -> dict[str, dict[str, list[float]]]:
     """{lang: {"words": shares by WORD_LIST and rest, "classes": shares}}
-    over all documents of the known languages: at most one row per
-    language and bin reaches the driver."""
-    langs = sorted(COMMON_WORDS)
-    text = F.col("text")
-    df = docs.select(F.col("lang").cast("string").alias("lang"), text_or_empty("text").alias("text")).where(F.col("lang").isin(langs))
-    df = df.select("lang", common_counts(text).alias("hist"), *char_classes(text))
+    over all documents; "words" only for the languages of the word lists.
+    At most one row per bin of a lang with a reference reaches the driver."""
+    langs, text = sorted(COMMON_WORDS), F.col("text")
+    df = docs.select(F.col("lang").cast("string").alias("lang"), text_or_empty("text").alias("text"))
+    df = df.select("lang", F.when(F.col("lang").isin(langs), common_counts(text)).alias("hist"), *char_classes(text))
     bins = F.concat(
-        F.transform("hist", lambda x: F.struct(F.lit("w").alias("kind"), x.word.alias("bin"), x.n.alias("n"))),
-        F.array(*[F.struct(F.lit("c").alias("kind"), F.lit(n).alias("bin"), F.col(f"c_{n}").alias("n")) for n in CLASS_NAMES]))
-    rows = df.select("lang", F.inline(bins)).groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")).collect()
+        F.coalesce(F.transform("hist", lambda x: F.struct(F.lit("w").alias("kind"), x.word.alias("bin"), x.n.alias("n"))),
+                   F.array().cast("array<struct<kind:string,bin:string,n:bigint>>")),
+        F.array(F.struct(F.lit("d").alias("kind"), F.lit("").alias("bin"), F.lit(1).cast("long").alias("n")),
+                *[F.struct(F.lit("c").alias("kind"), F.lit(n).alias("bin"), F.col(f"c_{n}").alias("n")) for n in CLASS_NAMES]))
+    sums = cut(df.select("lang", F.inline(bins)).groupBy("lang", "kind", "bin").agg(F.sum("n").alias("n")))
+    documents = sums.where("kind = 'd'")
+    total = documents.agg(F.sum("n")).first()[0] or 0
+    enough = F.col("lang").isin(langs) | ((F.col("n") >= MIN_DOCUMENTS) & (F.col("n") >= MIN_SHARE * total))
+    rows = sums.join(documents.where(F.col("lang").isNotNull() & enough).select("lang"), "lang").collect()
     out = {}
     for lang in sorted({r.lang for r in rows}):
         got = {(r.kind, r.bin): r.n for r in rows if r.lang == lang}
         out[lang] = {}
         for name, kind, bins_ in (("words", "w", [*WORD_LIST, None]), ("classes", "c", CLASS_NAMES)):
-            n = [got.get((kind, b), 0) + 1 for b in bins_]
-            out[lang][name] = [x / sum(n) for x in n]
+            if name == "classes" or lang in COMMON_WORDS:
+                n = [got.get((kind, b), 0) + 1 for b in bins_]
+                out[lang][name] = [x / sum(n) for x in n]
     return out
 
 
-def divergence(hist: Column, total: Column, shares: list[float]) -> Column:
+def divergence(hist: Column, total: Column, shares: list[float] | Column) -> Column:
     """Jensen-Shannon distance of counts (array<struct<bin, n>>, bin from 1
     on) from shares, none of which is 0."""
-    q_all = F.array(*[F.lit(x) for x in shares])
+    q_all = shares if isinstance(shares, Column) else F.array(*[F.lit(x) for x in shares])
 
     def add(acc, x):
         p, q = x.n / total, F.element_at(q_all, x.bin)
@@ -177,10 +189,19 @@ def judge_quality(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     def against(hist, total, shares):
         return let(total, lambda t: divergence(hist, t, shares))
 
+    common = {k: r for k, r in refs.items() if "words" in r}
+    other = {k: r for k, r in refs.items() if "words" not in r}
+
     def nearest(hist, name):
         total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x.n)
-        each = [against(F.col(hist), total, r[name]) for r in refs.values()]
-        return F.when(F.size(hist) > 0, F.least(*each) if len(each) > 1 else each[0])
+        each = [against(F.col(hist), total, r[name]) for r in common.values()]
+        least = F.least(*each) if len(each) > 1 else each[0] if each else F.lit(None).cast("double")
+        if name == "classes" and other:
+            by_lang = F.create_map(*[x for k, r in other.items() for x in (F.lit(k), F.array(*[F.lit(v) for v in r[name]]))])
+            own = let(F.element_at(by_lang, F.col("lang")), lambda q: against(F.col(hist), total, q))
+            own = F.when(F.col("lang").isin(sorted(other)), own)
+            least = F.least(least, own) if each else own
+        return F.when(F.size(hist) > 0, least)
 
     df = df.select(*base, "lang", "n_chars", failed.alias("base_failed"), nearest("hist", "words").alias("word_js"), nearest("classes", "classes").alias("class_js"))
 
@@ -190,7 +211,6 @@ def judge_quality(docs: DataFrame, refs: dict | None = None) -> DataFrame:
             out = F.when(F.col(size) >= least, F.coalesce(F.col(js) > most, F.lit(False))).otherwise(out)
         return out
 
-    unlike = above("word_js", "n_words", WORD_LIMITS) | above("class_js", "n_chars", CLASS_LIMITS)
-    known = F.col("lang").isNull() | F.col("lang").isin(sorted(refs))
-    return df.select(*base, "base_failed", "word_js", "class_js",
-                     (~F.col("base_failed") & ~(known & unlike)).alias("kept"))
+    known = F.col("lang").isNull() | F.col("lang").isin(sorted(common))
+    unlike = (known & above("word_js", "n_words", WORD_LIMITS)) | above("class_js", "n_chars", CLASS_LIMITS)
+    return df.select(*base, "base_failed", "word_js", "class_js", (~F.col("base_failed") & ~unlike).alias("kept"))

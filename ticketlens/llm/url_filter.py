@@ -9,12 +9,14 @@ over the host graph that the pages' links span:
 * trust starts at hosts with allowed pages and flows along the links,
 * distrust starts at hosts with blocked pages and flows against them.
 
-A host's seed is the share of its pages that a rule allows (blocks). Each
-step passes ``DAMPING`` of a score on, in proportion to the number of
-links, and adds the seed: after k steps a score holds all walks of up to k
-links. A host is blocked where distrust exceeds ``ratio`` times trust.
-Scores are whole numbers in units of 1e-12, so sums do not depend on the
-order of rows.
+A host's seed is the share of its pages that a rule allows (blocks). What a
+host gets in a step (at first its seed) is added to its score, and
+``DAMPING`` of it is passed on in the next step, in proportion to the number
+of links. Steps go on until nothing is left to pass on: amounts below
+``TOLERANCE`` are not, which ends any walk after 85 links at the latest and
+leaves out under 1e-6 of a full seed a walk. A host is blocked where distrust
+exceeds ``ratio`` times trust. Scores are whole numbers in units of 1e-12, so
+sums do not depend on the order of rows.
 
 Hot hosts: links are summed to one row per host pair before anything is
 joined (partial sums in each task), so a host with a third of all pages
@@ -45,9 +47,9 @@ RULES = (
     ("block", "com/de/"),
 )
 DAMPING = 0.85
-STEPS = 10
 RATIO = 1.0
 UNIT = 10 ** 12
+TOLERANCE = 10 ** 6
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HREF = r"(?i)<a[\x20\x09-\x0D][^>]*?href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*[\"']?([^\"'\x20\x09-\x0D>]*)"
@@ -95,7 +97,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return df.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def host_scores(ruled: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def host_scores(ruled: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: int = TOLERANCE) -> DataFrame:
     """(kind, host, score): kind is trust or distrust."""
     seeds = ruled.groupBy("host").agg(
         F.count("*").alias("n"),
@@ -112,22 +114,22 @@ def host_scores(ruled: DataFrame, edges: DataFrame, damping: float = DAMPING, st
     out = both.groupBy("kind", "u").agg(F.sum("n").alias("n_out"))
     both = cut(both.join(out, ["kind", "u"]).select("kind", F.col("u").alias("host"), "v", "n", "n_out"))
 
-    state = seeds
-    for k in range(steps):
-        passed = state.join(both, ["kind", "host"]).select(
+    got, total = seeds, seeds
+    while True:
+        passed = got.where(F.col("score") >= tolerance).join(both, ["kind", "host"]).select(
             "kind", F.col("v").alias("host"),
             F.floor(F.col("score") * F.lit(float(damping)) * F.col("n") / F.col("n_out")).cast("long").alias("score"))
-        state = seeds.unionByName(passed).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if k % 4 == 3:
-            state = cut(state)
-    return state
+        got = cut(passed.groupBy("kind", "host").agg(F.sum("score").alias("score")))
+        if not got.where(F.col("score") > 0).limit(1).count():
+            return total
+        total = cut(total.unionByName(got).groupBy("kind", "host").agg(F.sum("score").alias("score")))
 
 
-def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, steps: int = STEPS,
+def filter_urls(pages: DataFrame, rules=RULES, damping: float = DAMPING, tolerance: int = TOLERANCE,
                 ratio: float = RATIO) -> DataFrame:
     """page_id, host, path, rule, verdict (allow or block) of every page."""
     ruled = with_rules(pages, rules)
-    scores = host_scores(ruled, cut(host_edges(pages)), damping, steps)
+    scores = host_scores(ruled, cut(host_edges(pages)), damping, tolerance)
     blocked = scores.groupBy("host").agg(
         F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0)).alias("trust"),
         F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0)).alias("distrust"),
