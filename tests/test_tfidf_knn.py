@@ -260,3 +260,32 @@ def test_texts_are_not_shuffled(spark):
         plan = Q.REGISTRY[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         exchanges = [x for x in plan.splitlines() if "Exchange" in x and "text" in x]
         assert not exchanges, plan
+
+
+def test_vocabulary_and_new_texts_need_no_stored_rows(spark, tmp_path):
+    """The queries on the model write the model only, and few texts meet the
+    vocabulary without a shuffle of it; the rows come with the first query
+    that reads them."""
+    from ticketlens.plans import queries as Q
+    docs = [(i, f"login error number{i % 7} again", "en", "web", 30) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, "login error"), (2, "unknownword")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    sf = f"file://{tmp_path}"
+    vocabulary = {r.term: r.df for r in Q.q_vocabulary(spark, sf).collect()}
+    assert vocabulary["number3"] == 6 and "login" not in vocabulary  # in all documents
+    assert Q.q_similar_new(spark, sf).collect() == []
+    path = Q._index_path(spark, sf)
+    assert Q.io.path_exists(spark, f"{path}/vocabulary") and not Q.io.path_exists(spark, f"{path}/weights")
+    assert Q.q_tfidf_weights(spark, sf).select("ticket_id").distinct().count() == 40
+
+
+def test_few_texts_stream_the_vocabulary(spark):
+    """Beyond the size that is broadcast, few texts are sent to the vocabulary."""
+    c = spark.createDataFrame([(i, f"w{i % 5} x{i % 3} y{i % 4}") for i in range(60)], "id long, text string")
+    q = spark.createDataFrame([(1, "w1 x2 y3 w1"), (2, "nothing"), (3, "x0")], "id long, text string")
+    model = tfidf.fit(c, "id", "text")
+    plain = {(r.id, r.term): r.weight for r in tfidf.transform(q, "id", "text", model).collect()}
+    few = tfidf.transform(q, "id", "text", model, max_broadcast=model.n_terms - 1)
+    assert {(r.id, r.term): pytest.approx(r.weight) for r in few.collect()} == plain
+    assert "SortMergeJoin" not in few._jdf.queryExecution().executedPlan().toString()
