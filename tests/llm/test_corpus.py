@@ -407,6 +407,18 @@ def test_more_texts_than_columns(spark, monkeypatch):
     assert sum(rounds[k] == whole[k] for k in whole) >= 0.9 * len(whole)
 
 
+def test_all_texts_of_a_band_have_their_turn_as_columns(spark, monkeypatch):
+    """Few columns give the classes of a comparison of all with all."""
+    df = spark.createDataFrame(list(enumerate(scattered(90, 13))), "doc_id long, text string")
+    exact = {r.doc_id: r.class_id for r in N.classes(df, exact=True).collect()}
+    taken, own = [], N.compared
+    monkeypatch.setattr(N, "COLUMNS", 3)
+    monkeypatch.setattr(N, "SLICE_TEXTS", 8)
+    monkeypatch.setattr(N, "compared", lambda *a: taken.append(a[7] if len(a) > 7 else 0) or own(*a))
+    assert {r.doc_id: r.class_id for r in N.classes(df).collect()} == exact
+    assert max(taken) > 0  # the parts after the first
+
+
 def test_pairs_grow_with_a_group_not_with_its_square(spark):
     """Copies below the limit stay apart, and their candidates are linear."""
     made = []
