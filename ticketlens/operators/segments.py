@@ -1,9 +1,10 @@
 """Stored TF-IDF index that grows by segments.
 
 A version of the index is a list of immutable segments, oldest first. A
-segment has the postings (id, term, tf) of its own documents, the ids that
-it takes out of older segments (``gone``), and what both change in the
-document frequencies (``df``: term, change). So a change of some documents
+segment has the postings of its own documents, those of one term of a batch
+in one row (term, n, ids, tfs), the ids that it takes out of older segments
+(``gone``; up to ``MAX_BROADCAST_IDS`` of them are broadcast to the postings),
+and what both change in the document frequencies (``df``: term, change). So a change of some documents
 writes about as much as these documents have:
 
 * ``add`` counts the terms of the new texts only;
@@ -35,12 +36,21 @@ from ticketlens.operators import tfidf
 from ticketlens.sources.commit_log import Published
 
 FANOUT = 4
+MAX_BROADCAST_IDS = 1_000_000  # 16 bytes each
 
 
 class Conflict(RuntimeError):
     """Another writer has published a version meanwhile."""
 
 
+def _unpacked(rows: DataFrame) -> DataFrame:
+    return rows.select("term", F.explode(F.arrays_zip("ids", "tfs")).alias("x")).select(F.col("x.ids").alias("id"), "term", F.col("x.tfs").alias("tf"))
+
+
+def _single(postings: DataFrame) -> DataFrame:
+    return postings.select("term", F.lit(1).cast("long").alias("n"), F.array("id").alias("ids"), F.array("tf").alias("tfs"))
+
+
 class SegmentedIndex(Published):
     def __init__(self, spark: SparkSession, path: str, min_df: int = tfidf.MIN_DF, max_df: float = tfidf.MAX_DF):
         super().__init__(spark, path)
@@ -61,31 +71,42 @@ class SegmentedIndex(Published):
     def _part(self, segment: dict, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/segments/{segment['name']}/{name}")
 
-    def _live(self, segments: list, older_than: list = ()) -> DataFrame | None:
-        """The postings that later segments have not taken out. ``older_than``
-        are segments that come after the given ones."""
-        out, later = None, [*older_than]
+    def _gone(self, segment: dict) -> DataFrame:
+        ids = self._part(segment, "gone")
+        return F.broadcast(ids) if segment["gone"] <= MAX_BROADCAST_IDS else ids
+
+    def _rows(self, segments: list) -> DataFrame | None:
+        """The stored rows that later ones of the segments have not taken out."""
+        out, later = None, []
         for s in reversed(segments):
             if s["docs"]:
                 rows = self._part(s, "postings")
-                for t in later:
-                    if t["gone"]:
-                        rows = rows.join(self._part(t, "gone"), "id", "left_anti")
+                if any(t["gone"] for t in later):
+                    rows = _unpacked(rows)
+                    for t in later:
+                        if t["gone"]:
+                            rows = rows.join(self._gone(t), "id", "left_anti")
+                    rows = _single(rows)
                 out = rows if out is None else out.unionByName(rows)
             later = [s, *later]
         return out
 
+    def _live(self, segments: list) -> DataFrame | None:
+        """The postings (id, term, tf) that later segments have not taken out."""
+        rows = self._rows(segments)
+        return None if rows is None else _unpacked(rows)
+
     # -- writers ----------------------------------------------------------------
 
     def _write(self, postings: DataFrame | None, n_docs: int, gone: DataFrame | None, minus: DataFrame | None) -> dict:
-        """A segment of new postings and removed ids (``minus``: the removed
-        ids' postings)."""
+        """A segment of new rows of postings and removed ids (``minus``: the
+        removed ids' postings)."""
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
         changes = []
         if postings is not None:
             postings.write.parquet(f"{at}/postings")
-            changes.append(self.spark.read.parquet(f"{at}/postings").groupBy("term").agg(F.count("*").alias("df")))
+            changes.append(self.spark.read.parquet(f"{at}/postings").where("term is not null").groupBy("term").agg(F.sum("n").alias("df")))
         n_gone = 0
         if gone is not None:
             gone.write.parquet(f"{at}/gone")
@@ -97,8 +118,10 @@ class SegmentedIndex(Published):
         return {"name": name, "docs": n_docs, "gone": n_gone, "level": int(math.log(max(1, n_docs + n_gone), FANOUT))}
 
     def _ids(self, segments: list, ids: DataFrame) -> DataFrame | None:
+        """The postings of the ids (a checkpoint)."""
         rows = self._live(segments)
-        return None if rows is None else rows.join(ids, "id", "left_semi")
+        few = ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+        return None if rows is None else rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
     def replace(self, docs: DataFrame | None, id_col: str = "id", text_col: str = "text", ids: DataFrame | None = None) -> dict:
         """Takes the ids out, puts the documents in and publishes the version.
@@ -110,11 +133,11 @@ class SegmentedIndex(Published):
             n_new = docs.select(id_col).count()
             empty = docs.select(F.col(id_col).alias("id")).distinct()
             # a text without terms keeps a row of its own, so that its id is known
-            postings = tfidf.term_counts(docs, id_col, text_col).unionByName(
-                empty.select("id", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf")))
+            postings = tfidf.packed_counts(docs, id_col, text_col).unionByName(
+                _single(empty.select("id", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("tf"))))
         gone = minus = None
         if ids is not None and segments:
-            gone = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
+            gone = ids.select(F.col(ids.columns[0]).alias("id")).distinct().checkpoint()
             own = self._ids(segments, gone)
             if own is not None:
                 own = own.checkpoint()
@@ -145,7 +168,7 @@ class SegmentedIndex(Published):
     def _joined(self, run: list, oldest: bool) -> dict:
         name = uuid.uuid4().hex
         at = f"{self.path}/segments/{name}"
-        rows, docs = self._live(run), 0
+        rows, docs = self._rows(run), 0
         if rows is not None:
             rows.write.parquet(f"{at}/postings")
             docs = self.spark.read.parquet(f"{at}/postings").where("term is null").count()
