@@ -456,3 +456,24 @@ def test_substring_dedup_of_null_ids_and_equal_rows(spark):
     assert rows_of(D.remove_repeats(df), *REPEATS) == sorted(((i, *w) for (i, _), w in zip(rows, want)), key=repr)
     spans = D.repeated(df)
     assert spans.where("doc_id is null").dropDuplicates(["digest", "at", "n"]).groupBy("digest").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_many_texts_are_looked_up_by_a_bitmap(spark, monkeypatch):
+    """Bags of more texts than a broadcast join takes: the driver gets a bitmap
+    of fixed size, and no text is shuffled; classes stay the same."""
+    rng = np.random.default_rng(3)
+    base = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 60)) for _ in range(200)]
+    rows = [(i, f"{t} end{i}") for i, t in enumerate(base * 2)]
+    df = spark.createDataFrame([*rows, (1000, ""), (1001, None)], "doc_id long, text string")
+    before = sorted((r.doc_id, r.class_id, r.n_links) for r in N.classes(df).collect())
+    assert sum(links > 0 for _, _, links in before) == 400
+    monkeypatch.setattr(N, "BROADCAST_TEXTS", 10)
+    monkeypatch.setattr(N, "BITMAP_BITS", 12)
+    wanted = N.keyed(df.where("doc_id < 300")).select("md")
+    bits = np.unpackbits(N.bitmap(wanted), bitorder="little")
+    assert len(bits) == 1 << 12 and 300 < bits.sum() <= 600
+    joins, make = [], type(df).join
+    monkeypatch.setattr(type(df), "join", lambda self, *a, **b: joins.append(a) or make(self, *a, **b))
+    bags = {bytes(r.md) for r in N.bags_of(df, wanted).collect()}
+    assert not joins and bags >= {bytes(r.md) for r in wanted.collect()}
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in N.classes(df).collect()) == before
